@@ -191,21 +191,21 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def best_fit(pieces: DataFrame, capacity: int = 2048, part_rows: int = 50_000) -> DataFrame:
+def best_fit(pieces: DataFrame, capacity: int = 2048, part_rows: int = 10_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length and further columns) with sequence_id and offset.
 
     ``part_rows`` is about how many pieces of one length are ranked in one part. ``pieces`` is read twice: pass a
     table, not a long computation.
     """
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    parts = max(64, -(-max(counts.values(), default=0) // part_rows))
+    parts = F.lit([max(1, -(-counts.get(n, 0) // part_rows)) for n in range(capacity + 1)])
     rows = plan(counts, capacity)
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows = rows[order]
     keys = (rows[:, 0] << 44) + rows[:, 1]
 
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in names]), F.lit(parts))
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in names]), parts[F.col("length").cast("int")])
     dealt = pieces.select(*names).withColumn("__part", part)
     before = dealt.groupBy("length", "__part").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     before = materialise(before.select("length", "__part", F.coalesce("__before", F.lit(0)).alias("__before")), "pack-ranks")

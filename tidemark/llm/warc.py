@@ -180,7 +180,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
 def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """The rows of RESULT of all records in ``files`` (path, size), in tasks of about ``split_bytes`` each."""
     ranges = files.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    count = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(count), "path", "start")  # a fixed number: the rows are few, but each is much work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RESULT.split(", ")]
