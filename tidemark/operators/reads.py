@@ -1,17 +1,25 @@
-"""Reads over versions: newest values, snapshots, ordered scans and cursors."""
+"""Reads over versions: newest values, snapshots, ordered scans and cursors.
+
+Versions have key, seq, rtype (0 put, 1 delete) and value. A key's delete marker hides its older versions, and a deleted
+key reads like one that never was. Conditions on keys and sequence numbers are plain filters, so that Parquet skips
+what they exclude.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import packed_order
+from tidemark.functions.order import next_and_previous, successor
+
 
 def newest(versions: DataFrame) -> DataFrame:
     """The newest version of each key, delete markers included: the largest seq, then the largest rtype.
 
     One hash aggregation with partial sums before the shuffle: the order (seq, rtype) is packed in a long.
     """
-    order = F.col("seq") * 4 + F.col("rtype")
+    order = packed_order(F.col("seq"), F.col("rtype"))
     best = versions.groupBy("key").agg(F.max(order).alias("o"), F.max_by("value", order).alias("value"))
     return best.select("key", F.floor(F.col("o") / 4).cast("long").alias("seq"), F.pmod("o", F.lit(4)).cast("int").alias("rtype"), "value")
 
@@ -19,3 +27,78 @@ def newest(versions: DataFrame) -> DataFrame:
 def live(versions: DataFrame) -> DataFrame:
     """key, seq and value of each key whose newest version isn't a delete marker."""
     return newest(versions).where("rtype = 0").select("key", "seq", "value")
+
+
+def live_at(versions: DataFrame, snapshot: int) -> DataFrame:
+    """The live view as of a sequence number."""
+    return live(versions.where(F.col("seq") <= snapshot))
+
+
+def get(versions: DataFrame, key: str, snapshot: int | None = None) -> DataFrame:
+    """The live value of one key, now or as of a sequence number: one row or none."""
+    of_key = versions.where(F.col("key") == key)
+    return live(of_key) if snapshot is None else live_at(of_key, snapshot)
+
+
+def multi_get(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, found, seq and value for each distinct key of ``keys``."""
+    keys = keys.select("key").distinct()
+    got = live(versions.join(keys, "key", "left_semi"))
+    return keys.join(got, "key", "left").select("key", F.col("seq").isNotNull().alias("found"), "seq", "value")
+
+
+def get_as_of(versions: DataFrame, probes: DataFrame) -> DataFrame:
+    """key, snapshot, seq and value of each probe (key, snapshot) whose key is live as of the snapshot.
+
+    An as-of join by one window over both tables, so that a key's versions are never paired with all of its probes.
+    """
+    rows = versions.select("key", "seq", F.struct("seq", "rtype", "value").alias("v"), F.lit(0).alias("probe"))
+    asked = probes.select("key", F.col("snapshot").alias("seq"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), F.lit(1).alias("probe"))
+    before = Window.partitionBy("key").orderBy("seq", "probe", "v.rtype").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(asked).withColumn("last", F.last("v", ignorenulls=True).over(before))
+    return met.where("probe = 1 and last.rtype = 0").select("key", F.col("seq").alias("snapshot"), F.col("last.seq").alias("seq"), F.col("last.value").alias("value"))
+
+
+def scan(versions: DataFrame, start: str | None = None, limit: str | None = None) -> DataFrame:
+    """The live rows with start <= key < limit; null bounds are open."""
+    if start is not None:
+        versions = versions.where(F.col("key") >= start)
+    if limit is not None:
+        versions = versions.where(F.col("key") < limit)
+    return live(versions)
+
+
+def prefix_scan(versions: DataFrame, prefix: str) -> DataFrame:
+    """The live rows whose key starts with ``prefix``."""
+    return live(versions.where(F.col("key").startswith(prefix)))
+
+
+def seek(versions: DataFrame, targets: DataFrame, prefix_chars: int = 9) -> DataFrame:
+    """target and found: the first live key at or after each of ``targets`` (target), null past the end."""
+    return successor(targets.select("target"), live(versions).select("key"), prefix_chars)
+
+
+def ends(versions: DataFrame) -> DataFrame:
+    """first_key and last_key of the live view."""
+    return live(versions).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+def neighbours(versions: DataFrame, prefix_chars: int = 9) -> DataFrame:
+    """key, next_key and prev_key of each live key."""
+    return next_and_previous(live(versions), prefix_chars)
+
+
+def contains(versions: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and present for each distinct key of ``keys``: whether it has any version, markers included."""
+    has = versions.select("key").distinct().withColumn("has", F.lit(True))
+    return keys.select("key").distinct().join(has, "key", "left").select("key", F.coalesce("has", F.lit(False)).alias("present"))
+
+
+def dump(versions: DataFrame) -> DataFrame:
+    """All versions, markers included, by key and from the newest to the oldest."""
+    return versions.orderBy("key", F.desc("seq"), F.desc("rtype"))
+
+
+def last_sequence(versions: DataFrame) -> DataFrame:
+    """last_seq: the largest sequence number, 0 without versions. A reader keeps it as its snapshot."""
+    return versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"))
