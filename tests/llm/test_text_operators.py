@@ -82,6 +82,15 @@ def test_token_counts_as_greedy_pieces(spark, sf, texts, odd):
         assert (r.n_words, r.n_tokens, r.n_unknown) == want("no id" if r.doc_id is None else ODD[r.doc_id])
 
 
+@pytest.mark.parametrize("mark", ["-", "\u2e3b"])
+def test_token_counts_of_a_text_of_rulers(spark, mark):
+    first, following = map(set, token_counts.vocabulary(BYTE))
+    unknown = _greedy(mark, first, following) < 0
+    df = spark.createDataFrame([(1, " ".join([mark * 30] * 100_000)), (2, " ".join([mark * 1000] * 2500))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.token_counts(df, BYTE).collect()}
+    assert got == {1: (3_000_000, 3_000_000, 3_000_000 * unknown), 2: (2_500_000, 2_500_000, 2_500_000 * unknown)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_automaton_on_random_vocabularies(seed):
     rng = np.random.default_rng(seed)

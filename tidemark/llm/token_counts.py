@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe_automaton import byte_letters
 
 CACHE_ENTRIES = 500_000
+#: Letters of a cached piece, each of which can be a word, and pieces summed at once: the packed sums stay under 2**21.
+LONGEST, PART = 1000, 2000
 
 
 class CountAutomaton:
@@ -149,8 +151,8 @@ class Counter:
         if text:
             cache = self.cache
             pieces = text.split()
-            for at in range(0, len(pieces), 100_000):  # the packed sums stay within their bits
-                part = pieces[at : at + 100_000]
+            for at in range(0, len(pieces), PART):
+                part = pieces[at : at + PART]
                 try:
                     total = sum(map(cache.__getitem__, part))
                 except KeyError:
@@ -158,7 +160,7 @@ class Counter:
                         cache.clear()
                     for p in part:
                         if p not in cache:
-                            cache[p] = self._piece(p) if len(p) <= 1000 else None
+                            cache[p] = self._piece(p) if len(p) <= LONGEST else None
                     total = sum(x for p in part if (x := cache[p]) is not None)
                     for p in part:
                         if cache[p] is None:  # very long pieces are counted apart
