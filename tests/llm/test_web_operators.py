@@ -85,6 +85,15 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_blocks_beside_an_inner_container(spark):
+    body = "".join(f"<p>Sentence {i} of the article's main text, with some words more.</p>" for i in range(20))
+    page = f"<html><body><div><a href=/>Home</a> | <a href=/n>News</a></div><article><p>The lead.</p><div class=body>{body}</div><p>The end.</p></article></body></html>"
+    df = spark.createDataFrame([(n, f"http://h.org/{n}", page) for n in range(3)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        lines = r.text.split("\n")
+        assert (lines[0], lines[-1], len(lines), r.path) == ("The lead.", "The end.", 22, "/html/body/article")
+
+
 def test_html_whole_table(spark, sf):
     got = queries.op8_html_extract(spark, sf).collect()
     assert len(got) == duckdb.sql(f"select count(*) from '{sf}/pages.parquet'").fetchall()[0][0]

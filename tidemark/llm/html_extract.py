@@ -1,8 +1,8 @@
 """HTML extraction by consensus host paths.
 
 A light pass over a page's tags finds its containers, their generalised path (tags and classes from the root, numbers
-replaced) and a score: text outside links and boilerplate, in blocks. Each page votes for the path of its best
-container; Spark counts the votes of each host, and each page is extracted again with the path that won on its host.
+replaced) and a score: text outside links and boilerplate, in blocks. Each page votes for the path of its innermost
+container outside of which there is no text but that of links; Spark counts the votes of each host, and each page is extracted again with the path that won on its host.
 A page without such a container falls back on its own best one.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
@@ -48,6 +48,7 @@ class Container:
     blocks: list[str] = field(default_factory=list)
     letters: int = 0
     linked: int = 0
+    plain: int = 0
 
     @property
     def score(self) -> float:
@@ -68,6 +69,12 @@ def _names(attributes: str) -> tuple[list[str], bool]:
     return classes, bad
 
 
+def plain_letters(text: list[tuple[str, bool]]) -> int:
+    """Letters of a block outside links, without white space; marks between links don't count."""
+    out = "".join(unescape("".join(t for t, in_link in text if not in_link)).split())
+    return sum(map(str.isalnum, out)) if any(in_link for _, in_link in text) else len(out)
+
+
 def containers(html: str | None) -> list[Container]:
     """All containers outside boilerplate, outer ones first, each with the blocks of all that is in it."""
     found: list[Container] = []
@@ -79,11 +86,13 @@ def containers(html: str | None) -> list[Container]:
         block = " ".join(unescape("".join(t for t, _ in text)).split())
         if block:
             linked = sum(len(t) for t, in_link in text if in_link)
+            plain = plain_letters(text)
             for _, _, c, _ in stack:
                 if c is not None:
                     c.blocks.append(block)
                     c.letters += len(block)
                     c.linked += linked
+                    c.plain += plain
         text.clear()
 
     at, html = 0, html or ""
@@ -149,9 +158,9 @@ def containers(html: str | None) -> list[Container]:
 
 
 def best_of(found: list[Container]) -> Container:
-    """The container to vote for: the deepest one that keeps nearly all of what the best score has."""
-    top = max(c.score for c in found)
-    return [c for c in found if c.score >= 0.8 * top - 1][-1]
+    """The container to vote for: the deepest one that holds all of the page's text outside links, or else the whole page."""
+    page = found[0]
+    return [c for c in found if c.plain == page.plain][-1] if page.plain else page
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
