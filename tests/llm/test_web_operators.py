@@ -94,6 +94,23 @@ def test_html_keeps_blocks_beside_an_inner_container(spark):
         assert (lines[0], lines[-1], len(lines), r.path) == ("The lead.", "The end.", 22, "/html/body/article")
 
 
+@pytest.mark.parametrize("start", ["<div class='content has-sidebar'>", "<div id='main-no-ads'>", "<article class='post with-comments'>", "<div class=sidebar-layout>", "<div class='widget'><section id=comments>", "<main class=content-banner>"])
+def test_html_keeps_articles_with_telling_names(start):
+    page = f"<body><nav>Menu</nav><p>Before.</p>{start}<p>The text of the article, which is most of the page.</p><div class='cookie-notice'>We use cookies</div></body>"
+    assert html_extract.text_by_path(page, None)[0] == "Before.\nThe text of the article, which is most of the page."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-1", "page-footer", "box sidebar", "cookie-notice"])
+def test_html_leaves_out_named_boilerplate(name):
+    page = f"<body><article>The text of the article, which is most of the page.</article><div class='{name}'>Not this.</div><p>The end.</p></body>"
+    assert html_extract.text_by_path(page, None)[0] == "The text of the article, which is most of the page.\nThe end."
+
+
+def test_html_leaves_out_an_advert_longer_than_the_article():
+    page = "<body><div class=ad>An advert that is longer than the article.</div><article>Short text.</article></body>"
+    assert html_extract.text_by_path(page, None)[0] == "Short text."
+
+
 def test_html_whole_table(spark, sf):
     got = queries.op8_html_extract(spark, sf).collect()
     assert len(got) == duckdb.sql(f"select count(*) from '{sf}/pages.parquet'").fetchall()[0][0]

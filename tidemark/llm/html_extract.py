@@ -6,7 +6,9 @@ container outside of which there is no text but that of links; Spark counts the
 A page without such a container falls back on its own best one.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-by tag, role, id or class. Each block is trimmed with runs of white space as one space; blocks are joined by line ends.
+by tag, role, id or class, where a name or its last part counts and names like has-sidebar or no-ads don't. A container
+that holds most of the page's text outside links isn't left out for its id or class, unless
+an article or main element with text is kept. Each block is trimmed with runs of white space as one space; blocks are joined by line ends.
 
 Defined results: null and empty html give an empty text, as do pages without text outside boilerplate. A page that
 breaks off is read as far as it goes. Null and malformed URLs share one nameless host. Repeated rows give repeated
@@ -37,6 +39,7 @@ CONTAINERS = {"article", "body", "div", "main", "section", "td", "html"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "label", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "sidebars", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+ABOUT = {"has", "no", "with", "without"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
@@ -56,17 +59,23 @@ class Container:
         return self.letters - 2 * self.linked + 5 * len(self.blocks)
 
 
-def _names(attributes: str) -> tuple[list[str], bool]:
-    """Classes, and whether class, id or role speak of boilerplate."""
-    classes, bad = [], False
+def _speaks(name: str) -> bool:
+    """Whether a class or id, or its last part, names boilerplate; has-sidebar and the like tell of the page instead."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return bool(parts) and parts[-1] in NAMES and ABOUT.isdisjoint(parts)
+
+
+def _names(attributes: str) -> tuple[list[str], bool, bool]:
+    """Classes, whether role speaks of boilerplate, and whether class or id does."""
+    classes, role, named = [], False, False
     for m in ATTRIBUTE.finditer(attributes):
         values = (m[2] or m[3] or m[4] or "").lower().split()
         kind = m[1].lower()
         if kind == "class":
             classes = values
-        bad |= kind == "role" and not ROLES.isdisjoint(values)
-        bad |= kind != "role" and any(not NAMES.isdisjoint(re.split(r"[^a-z]+", v)) for v in values)
-    return classes, bad
+        role |= kind == "role" and not ROLES.isdisjoint(values)
+        named |= kind != "role" and any(map(_speaks, values))
+    return classes, role, named
 
 
 def plain_letters(text: list[tuple[str, bool]]) -> int:
@@ -77,8 +86,24 @@ def plain_letters(text: list[tuple[str, bool]]) -> int:
 
 def containers(html: str | None) -> list[Container]:
     """All containers outside boilerplate, outer ones first, each with the blocks of all that is in it."""
+    found, named, hidden = _containers(html, frozenset())
+    most = (found[0].plain + hidden) / 2
+    spared = frozenset(at for at, plain in named.items() if plain > most)
+    if not spared or any(c.plain and re.match(r".*/(?:article|main)(?:\.[^/]*)?\Z", c.path, re.S) for c in found):
+        return found
+    return _containers(html, spared)[0]
+
+
+def _containers(html: str | None, spared: frozenset[int]) -> tuple[list[Container], dict[int, int], int]:
+    """Containers, the letters outside links of those left out by id or class (by position), and of all that is so left out.
+
+    Containers at the positions ``spared`` aren't left out.
+    """
+    named: dict[int, int] = {}
+    marks: list[tuple[int, int | None]] = []  # depth in the stack and position (of containers) of what is left out by name
+    hidden = 0
     found: list[Container] = []
-    stack: list[tuple[str, str, Container | None, bool]] = []  # tag, path, container, whether boilerplate
+    stack: list[tuple[str, str, Container | None, bool, bool]] = []  # tag, path, container, whether boilerplate, and whether by tag or role
     open_links = 0
     text: list[tuple[str, bool]] = []
 
@@ -87,7 +112,7 @@ def containers(html: str | None) -> list[Container]:
         if block:
             linked = sum(len(t) for t, in_link in text if in_link)
             plain = plain_letters(text)
-            for _, _, c, _ in stack:
+            for _, _, c, _, _ in stack:
                 if c is not None:
                     c.blocks.append(block)
                     c.letters += len(block)
@@ -98,12 +123,21 @@ def containers(html: str | None) -> list[Container]:
     at, html = 0, html or ""
     root = Container("")
     found.append(root)
-    stack.append(("", "", root, False))
+    stack.append(("", "", root, False, False))
     while at < len(html):
         m = MARKUP.search(html, at)
         upto = m.start() if m else len(html)
         if upto > at and not stack[-1][3]:
             text.append((html[at:upto], open_links > 0))
+        elif upto > at and not open_links:
+            while marks and marks[-1][0] >= len(stack):
+                marks.pop()
+            if marks and not stack[-1][4]:
+                plain = plain_letters([(html[at:upto], False)])
+                hidden += plain
+                for _, position in marks:
+                    if position is not None:
+                        named[position] += plain
         if m is None:
             break
         at = m.end()
@@ -144,17 +178,25 @@ def containers(html: str | None) -> list[Container]:
                     break
                 if stack[k][0] in CONTAINERS or stack[k][0] in {"ul", "ol", "table", "dl", "select"}:
                     break
-        classes, bad = _names(m[3]) if len(m[3]) > 3 else ([], False)
-        bad = stack[-1][3] or tag in BOILERPLATE or bad and tag not in {"html", "body"}
+        classes, role, by_name = _names(m[3]) if len(m[3]) > 3 else ([], False, False)
+        by_kind = stack[-1][4] or tag in BOILERPLATE or role and tag not in {"html", "body"}
+        by_name = by_name and tag not in {"html", "body"} and m.start() not in spared
+        bad = stack[-1][3] or by_kind or by_name
+        if by_name and not by_kind:
+            while marks and marks[-1][0] >= len(stack):
+                marks.pop()
+            marks.append((len(stack), m.start() if tag in CONTAINERS else None))
+            if tag in CONTAINERS:
+                named[m.start()] = 0
         path = stack[-1][1]
         container = None
         if tag in CONTAINERS and not bad:
             path = path + "/" + ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)])
             container = Container(path)
             found.append(container)
-        stack.append((tag, path, container, bad))
+        stack.append((tag, path, container, bad, by_kind))
     flush()
-    return found
+    return found, named, hidden
 
 
 def best_of(found: list[Container]) -> Container:
