@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import Scratch, materialise
 from tidemark.llm.components import connected_components
 
 BLOCK = 1024
@@ -192,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_rows: int =
         return slim.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialise(found, "emb-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), Scratch(vectors.sparkSession, "emb"))
     known = classes.join(links, "rep", "left").join(component.select(F.col("id").alias("rep"), "component"), "rep", "left")
     known = materialise(known.select("h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")), "emb-known")
     out = slim.join(known, ["h1", "h2"], "left")
