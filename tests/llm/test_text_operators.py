@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_automaton, packing, quality_classifier, quality_rules, queries, token_counts
@@ -140,6 +141,40 @@ def test_packing(spark, sf, texts):
     _check_packing(queries.op2_best_fit_packing(spark, sf).collect(), texts, _library(BYTE))
 
 
+def _best_fit_decreasing(lengths, capacity):
+    """The gaps of all sequences, by a plain search through all of them for each piece."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(g, i) for i, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits)[1]] -= n
+        else:
+            gaps.append(capacity - n)
+    return sorted(gaps)
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 2048])
+def test_packing_equals_best_fit_decreasing(spark, capacity):
+    rng = np.random.default_rng(capacity)
+    lengths = [int(x) for x in np.minimum(capacity, np.maximum(1, rng.lognormal(np.log(capacity / 6), 1.2, 900).astype(int)))]
+    df = spark.createDataFrame([(i, n, "x", 1, 2) for i, n in enumerate(lengths)], "doc_id long, length long, row string, part int, gap int")
+    got = packing.best_fit(df, capacity).collect()
+    assert got[0].asDict().keys() == {"doc_id", "length", "row", "part", "gap", "sequence_id", "offset"} and sorted(r.doc_id for r in got) == list(range(900))
+    left = Counter()
+    for r in got:
+        left[r.sequence_id] += r.length
+    assert sorted(capacity - n for n in left.values()) == _best_fit_decreasing(lengths, capacity)
+    in_parts = {r.sequence_id for r in packing.best_fit(df, capacity, part_rows=100).collect()}
+    assert len(left) <= len(in_parts) <= len(left) + 9  # a part for 100 rows each may leave one more open
+
+
+def test_equal_rows_are_packed_each_and_spread(spark):
+    same = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(700).cast("long").alias("length"))
+    got = packing.best_fit(same, part_rows=500).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == 3000 and {r.offset for r in got} == {0, 700}
+    assert len({r.sequence_id for r in got}) <= 1506 and len({r.sequence_id >> 32 for r in got}) > 3
+
+
 def test_packing_of_odd_texts(spark, odd):
     digests = packing.tokenize(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), BYTE).selectExpr("doc_id", "piece", "start", "length", "crc32(ids) as ids_crc32")
     _check_packing(packing.best_fit(digests).collect(), dict(enumerate(ODD)), _library(BYTE))

@@ -1,17 +1,19 @@
-"""Best-fit packing of tokenized documents into sequences of a fixed capacity.
+"""Best-fit packing of tokenized documents into sequences of a fixed capacity, in bulk-synchronous supersteps.
 
-Documents are tokenized and cut into pieces of at most the capacity, of which all but a document's first are full.
-Pieces of one length are interchangeable, and so are gaps of one size. So the sorted documents and the sorted gaps are
-kept as runs (a length and a count), of which there are no more than the capacity, whatever the number of documents.
-Each superstep takes the longest run of documents still without a place, finds its successor among the gaps (the
-smallest that holds it), gives the documents and the gaps of the two runs to each other by rank, and puts the smaller
-gaps back; documents without a successor open sequences. This is best-fit decreasing over all documents, and its
-result is a short table of intervals of ranks. Spark counts the runs, ranks the pieces within their lengths (in
-hashed parts, so that no length, however common, meets in one task), and looks each rank up in the table.
+Documents are tokenized and cut into pieces of at most the capacity, of which all but a document's first are full. A
+superstep takes the pieces of one range of lengths, from the longest range down, and all gaps that are left in sequences
+and could hold one of them. Spark deals both evenly to parts by their numbers and sorts each part: gaps first, then
+pieces from the longest to the shortest. A sweep over the part gives each piece its successor among the gaps, the
+smallest that holds it; of pieces with one successor, the one that ranks first in the sort gets it, and the gap goes back
+with what is left of it. Pieces without a successor open sequences. The gaps are written to the shared folder and dealt
+anew in the next superstep, so a gap that one part leaves can be filled by any later one.
+
+Within a part this is best-fit decreasing. A part holds about ``part_rows`` rows whatever the number of documents; parts
+differ from best-fit decreasing over everything only in sequences that one opens while another has a gap left.
 
 Defined results: a null text is an empty one and is one piece that holds only the closing id. Repeated rows are packed
-each; equal (doc_id, piece) pairs are told apart by their content only. An empty table gives no pieces. Further columns
-of ``docs`` are ignored; those of the pieces are carried through.
+each. An empty table gives no pieces. Further columns of ``docs`` are ignored; those of the pieces are carried through,
+whatever their names, but for sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ import bisect
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from struct import pack
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe_automaton import byte_letters
-from tidemark.llm.common import materialise
+from tidemark.llm.common import Scratch, fresh, materialise
 
 CACHE_ENTRIES = 300_000
 #: Fixed value: how the byte-level vocabulary splits text.
@@ -141,85 +143,87 @@ def tokenize(docs: DataFrame, path: str, capacity: int = 2048, closing_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Best-fit decreasing over runs. Rows: length, first rank, first sequence, sequences, documents of the length in each, offset.
+def sweep(gaps: list[tuple[int, int]], pieces: Iterator[tuple[int, int]], capacity: int, first_sequence: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Best-fit of ``pieces`` (row, length) in the order given: (row, sequence, offset) of each, and the gaps after it.
 
-    Ranks of one length are dealt to the sequences of a row in blocks: rank r is in sequence first + (r - rank) // each,
-    at offset + length * ((r - rank) % each).
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs (first sequence, count)
-    sizes: list[int] = []  # of gaps, sorted
-    rows: list[tuple[int, ...]] = []
-    opened = 0
-
-    def put(size: int, first: int, count: int) -> None:
-        if size > 0 and count > 0:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):  # no successor: open sequences
-                fits = capacity // length
-                size, runs = capacity, [(opened, -(-left // fits))]
-                opened += runs[0][1]
-            else:
-                size = sizes.pop(at)
-                runs = gaps.pop(size)
-            each = size // length
-            while runs and left:
-                first, count = runs.pop()
-                whole = min(count, left // each)
-                if whole:
-                    rows.append((length, rank, first, whole, each, capacity - size))
-                    put(size - each * length, first, whole)
-                    rank, left = rank + whole * each, left - whole * each
-                    first, count = first + whole, count - whole
-                if count and left and left < each:
-                    rows.append((length, rank, first, 1, left, capacity - size))
-                    put(size - left * length, first, 1)
-                    rank, left = rank + left, 0
-                    first, count = first + 1, count - 1
-                if count:
-                    runs.append((first, count))
-            for first, count in runs:
-                put(size, first, count)
-    return np.array(rows, np.int64).reshape(-1, 6)
-
-
-def best_fit(pieces: DataFrame, capacity: int = 2048, part_rows: int = 10_000) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and further columns) with sequence_id and offset.
-
-    ``part_rows`` is about how many pieces of one length are ranked in one part. ``pieces`` is read twice: pass a
-    table, not a long computation.
+    ``gaps`` are (sequence, size); sequences are opened from ``first_sequence`` on.
     """
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    parts = F.lit([max(1, -(-counts.get(n, 0) // part_rows)) for n in range(capacity + 1)])
-    rows = plan(counts, capacity)
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    keys = (rows[:, 0] << 44) + rows[:, 1]
+    held: dict[int, list[int]] = {}  # size -> sequences
+    for sequence, size in gaps:
+        held.setdefault(size, []).append(sequence)
+    sizes = sorted(held)
+    placed, opened = [], first_sequence
+    for row, length in pieces:
+        at = bisect.bisect_left(sizes, length)
+        if at < len(sizes):
+            size = sizes[at]
+            sequence = held[size].pop()
+            if not held[size]:
+                del held[size], sizes[at]
+        else:
+            size, sequence, opened = capacity, opened, opened + 1
+        placed.append((row, sequence, capacity - size))
+        rest = size - length
+        if rest:
+            if rest not in held:
+                held[rest] = []
+                bisect.insort(sizes, rest)
+            held[rest].append(sequence)
+    return placed, [(sequence, size) for size, found in held.items() for sequence in found]
+
+
+def _superstep(pieces: DataFrame, gaps: DataFrame, capacity: int, parts: int, step: int) -> DataFrame:
+    """A row for each of ``pieces`` (id, size), with gap false, its sequence and offset, and one for each gap (id, size) left."""
+    rows = gaps.select(F.lit(True).alias("gap"), "id", "size").unionByName(pieces.select(F.lit(False).alias("gap"), "id", "size"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("gap"), F.desc("size"), "id")
+
+    def swept(part: int, gaps: list[tuple[int, int]], pieces: list[tuple[int, int]]) -> pa.RecordBatch:
+        placed, left = sweep(gaps, iter(pieces), capacity, (step << 56) + (part << 32))
+        found = np.array([(0, *x) for x in placed] + [(1, sequence, sequence, size) for sequence, size in left], np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0] == 1), *(pa.array(found[:, k]) for k in (1, 2, 3))], ["gap", "id", "sequence_id", "value"])
 
-    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in names]), parts[F.col("length").cast("int")])
-    dealt = pieces.select(*names).withColumn("__part", part)
-    before = dealt.groupBy("length", "__part").agg(F.count("*").alias("n")).withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = materialise(before.select("length", "__part", F.coalesce("__before", F.lit(0)).alias("__before")), "pack-ranks")
-    own = Window.partitionBy("length", "__part").orderBy(*[F.col(c) for c in names])
-    ranked = dealt.withColumn("__own", F.row_number().over(own)).join(before, ["length", "__part"])
-    ranked = ranked.select(*names, (F.col("__own") - 1 + F.col("__before")).alias("__rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, gaps, pieces = None, [], []
         for batch in batches:
-            length = batch.column(names.index("length")).to_numpy(zero_copy_only=False)
-            rank = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            row = rows[np.searchsorted(keys, (length << 44) + rank, "right") - 1] if len(rows) else rows[:0]
-            over = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 2] + over // row[:, 4]), pa.array(row[:, 5] + length * (over % row[:, 4]))], [*names, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+            for gap, i, size, part in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != now:
+                    if now is not None:
+                        yield swept(now, gaps, pieces)
+                    now, gaps, pieces = part, [], []
+                (gaps if gap else pieces).append((i, size))
+        if now is not None:
+            yield swept(now, gaps, pieces)
+
+    return rows.select("gap", "id", "size", "part").mapInArrow(run, "gap boolean, id long, sequence_id long, value long")
+
+
+def best_fit(pieces: DataFrame, capacity: int = 2048, part_rows: int = 50_000) -> DataFrame:
+    """``pieces`` (length, from 1 to ``capacity``, and any further columns) with sequence_id and offset.
+
+    ``pieces`` are written once, with a number for each row. ``part_rows`` is about how many pieces and gaps a task sweeps.
+    """
+    spark = pieces.sparkSession
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = fresh("row", *names)
+    pieces = materialise(pieces.select(*(F.col(f"`{c}`") for c in names), F.monotonically_increasing_id().alias(row)), "pack-pieces")
+    sizes = pieces.select(F.col(row).alias("id"), F.col("length").cast("long").alias("size"))
+    scratch = Scratch(spark, "pack")
+    bounds = sorted({capacity, capacity // 4, capacity // 16, capacity // 64, 0}, reverse=True)
+    level = F.lit(0)
+    for k, low in enumerate(bounds[1:]):
+        level = F.when(F.col("size") <= bounds[k], k).otherwise(level)
+    counts = {r.level: r.n for r in sizes.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}  # a row for each range
+    gaps, n_gaps, placed = spark.createDataFrame([], "id long, size long"), 0, []
+    for k, low in enumerate(bounds[1:]):
+        if counts.get(k, 0):
+            parts = -(-(counts[k] + n_gaps) // part_rows)
+            taken = sizes.where((F.col("size") > low) & (F.col("size") <= bounds[k]))
+            done = scratch.table(_superstep(taken, gaps.where(F.col("size") > low), capacity, parts, k), "superstep")
+            placed.append(done.where("not gap").select(F.col("id").alias(row), "sequence_id", F.col("value").alias("offset")))
+            gaps = gaps.where(F.col("size") <= low).unionByName(done.where("gap").select("id", F.col("value").alias("size")))
+            n_gaps = gaps.count() if low else 0
+    if not placed:
+        return pieces.select(*(F.col(f"`{c}`") for c in names), F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    places = scratch.result(reduce(DataFrame.unionByName, placed))
+    return pieces.join(places, row).select(*(F.col(f"`{c}`") for c in names), "sequence_id", "offset")

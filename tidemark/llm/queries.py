@@ -28,7 +28,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.best_fit(materialise(digests, "op2-pieces"))
+    return packing.best_fit(digests)
 
 
 def url_lists(pages: DataFrame) -> DataFrame:
