@@ -47,6 +47,30 @@ def test_tiles_and_odd_vectors(spark, tile_rows):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0 and embedding_dedup.near_duplicates(df.where("vec_id between 200 and 204")).where("n_links = 0 and kept").count() == 5
 
 
+def test_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [-1.0, 0.0]), (4, [-1.0, 0.01]), (4, [0.02, 1.0]), (5, [0.7, -0.7]), (None, [1.0, 0.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 1, False), (4, 1, 1, False), (5, 0, 5, True), (None, 0, None, True)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+    alone = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(alone, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_tiles_out_of_reach_are_left_out():
+    rng = np.random.default_rng(2)
+    centres = np.eye(8)[:4] * 3
+    x = np.concatenate([c + rng.normal(size=(200, 8)) * 0.1 for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cuts = embedding_dedup.cuts_of(x, 2)
+    tiles = cuts.tiles(x)
+    low, high = (np.array([f(x[tiles == t], 0) for t in range(4)]) for f in (np.min, np.max))
+    near = embedding_dedup.within_reach(low, high, 0.45)
+    assert sum(map(len, near)) < 10
+    for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True):
+        assert max(tiles[i], tiles[j]) in near[min(tiles[i], tiles[j])]
+
+
 def test_pipeline(spark, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "order_minhash", "best_fit_packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_uri(path: str) -> str:
+    """A path of the shared folder as a URI, for readers and writers outside Spark."""
+    if re.match(r"[a-z][a-z0-9+.-]*:/", path):
+        return re.sub(r"^file:/+", "file:///", path)
+    return f"file://{path}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared ones, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

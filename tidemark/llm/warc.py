@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shared_dir
+from tidemark.llm.common import as_uri, materialise, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
@@ -206,5 +206,4 @@ def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
 
 def new_folder(pages: DataFrame) -> str:
     """A fresh folder for archives among the shared ones, as a URI."""
-    base = shared_dir(pages.sparkSession)
-    return (base if re.match(r"[a-z][a-z0-9+.-]*:/", base) else f"file://{base}") + f"/warc-{uuid.uuid4().hex}"
+    return as_uri(f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
