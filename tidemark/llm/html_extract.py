@@ -1,18 +1,23 @@
 """HTML extraction by consensus host paths.
 
-A light pass over a page's tags finds its containers, their generalised path (tags and classes from the root, numbers
-replaced) and a score: text outside links and boilerplate, in blocks. Each page votes for the path of its innermost
-container outside of which there is no text but that of links; Spark counts the votes of each host, and each page is extracted again with the path that won on its host.
-A page without such a container falls back on its own best one.
+A pass over a page's tags finds its blocks of text and its containers, each with its generalised path (tags and classes
+from the root, numbers replaced; kept as a hash) and the blocks in it. Each page votes for the path of its innermost
+container outside of which there is no text but that of links; Spark counts the votes of each host, and each page is
+extracted again with the path that won on its host. A page without such a container falls back on its own best one.
 
-Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out
-by tag, role, id or class, where a name or its last part counts and names like has-sidebar or no-ads don't. A container
-that holds most of the page's text outside links isn't left out for its id or class, unless
-an article or main element with text is kept. Each block is trimmed with runs of white space as one space; blocks are joined by line ends.
+Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
+tag, role, id or class, where a name or its last part counts and names like has-sidebar or no-ads don't. A header inside
+an article or main element is the article's own and is kept. A container or form that holds most of the page's text
+outside links isn't left out for its id, its class or being a form, unless an article or main element with text is kept.
+
+Block-level tags end a block; inline tags, comments, scripts, styles and whatever is left out inside a block don't. Runs
+of white space in a block become one space, blocks are trimmed and joined by line ends. A start tag of a block ends an
+open paragraph; a link ends with the element it was opened in, or at the next link.
 
 Defined results: null and empty html give an empty text, as do pages without text outside boilerplate. A page that
 breaks off is read as far as it goes. Null and malformed URLs share one nameless host. Repeated rows give repeated
-results; at equal votes the larger score, then the path that sorts last, wins. Further columns are ignored.
+results; at equal votes the larger score, then the hash that sorts last, wins. Further columns are ignored. Time and
+memory grow with a page's length, however deep its tags are nested.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,25 +44,51 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 CONTAINERS = {"article", "body", "div", "main", "section", "td", "html"}
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "label", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "sidebars", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "related", "replies", "reply", "share", "sharing", "sidebar", "sidebars", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
 ABOUT = {"has", "no", "with", "without"}
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Elements beyond which a start tag closes nothing.
+SCOPES = {tag: CONTAINERS - {"td"} | {"ul", "ol", "table", "dl", "select"} | ({"td", "th"} if tag in {"li", "dt", "dd", "option"} else set()) for tag in CLOSES}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
+#: Elements that may hold a whole page, and so aren't left out for their id or class if they do.
+SPARED = CONTAINERS | {"form"}
 
 
-@dataclass
+@dataclass(frozen=True)
 class Container:
-    """A container's path, its text blocks in order, and what its score is made of."""
+    """A container that isn't left out: its path's hash, its node, its blocks (a range), and what its score is made of."""
 
     path: str
-    blocks: list[str] = field(default_factory=list)
-    letters: int = 0
-    linked: int = 0
-    plain: int = 0
+    node: int
+    first: int
+    last: int
+    letters: int
+    linked: int
+    plain: int
 
     @property
     def score(self) -> float:
         """Letters outside links, less those in links; a small share for each block tells articles from teasers."""
-        return self.letters - 2 * self.linked + 5 * len(self.blocks)
+        return self.letters - 2 * self.linked + 5 * (self.last - self.first)
+
+
+@dataclass(frozen=True)
+class Page:
+    """What is kept of a page: its blocks in order, its containers (outer ones first), and the parent and label of each node."""
+
+    blocks: list[str]
+    containers: list[Container]
+    parents: list[int]
+    labels: list[str]
+
+    def path_of(self, container: Container) -> str:
+        """The generalised path in full."""
+        out, node = [], container.node
+        while node > 0:
+            if self.labels[node]:
+                out.append(self.labels[node])
+            node = self.parents[node]
+        return "".join(reversed(out))
 
 
 def _speaks(name: str) -> bool:
@@ -84,119 +116,147 @@ def plain_letters(text: list[tuple[str, bool]]) -> int:
     return sum(map(str.isalnum, out)) if any(in_link for _, in_link in text) else len(out)
 
 
-def containers(html: str | None) -> list[Container]:
-    """All containers outside boilerplate, outer ones first, each with the blocks of all that is in it."""
-    found, named, hidden = _containers(html, frozenset())
-    most = (found[0].plain + hidden) / 2
-    spared = frozenset(at for at, plain in named.items() if plain > most)
-    if not spared or any(c.plain and re.match(r".*/(?:article|main)(?:\.[^/]*)?\Z", c.path, re.S) for c in found):
-        return found
-    return _containers(html, spared)[0]
-
-
-def _containers(html: str | None, spared: frozenset[int]) -> tuple[list[Container], dict[int, int], int]:
-    """Containers, the letters outside links of those left out by id or class (by position), and of all that is so left out.
-
-    Containers at the positions ``spared`` aren't left out.
-    """
-    named: dict[int, int] = {}
-    marks: list[tuple[int, int | None]] = []  # depth in the stack and position (of containers) of what is left out by name
-    hidden = 0
-    found: list[Container] = []
-    stack: list[tuple[str, str, Container | None, bool, bool]] = []  # tag, path, container, whether boilerplate, and whether by tag or role
-    open_links = 0
-    text: list[tuple[str, bool]] = []
-
-    def flush() -> None:
-        block = " ".join(unescape("".join(t for t, _ in text)).split())
-        if block:
-            linked = sum(len(t) for t, in_link in text if in_link)
-            plain = plain_letters(text)
-            for _, _, c, _, _ in stack:
-                if c is not None:
-                    c.blocks.append(block)
-                    c.letters += len(block)
-                    c.linked += linked
-                    c.plain += plain
-        text.clear()
-
-    at, html = 0, html or ""
-    root = Container("")
-    found.append(root)
-    stack.append(("", "", root, False, False))
+class _Tree:
+    """The elements of a page that matter (nodes), and its blocks: runs of text, each with its node and whether it is in a link."""
+
+    def __init__(self):
+        self.tags, self.parents, self.labels, self.paths = [""], [-1], [""], [""]
+        self.by_kind, self.by_name, self.spans = [False], [False], [[0, 0]]  # what is left out, and each node's blocks
+        self.blocks: list[list[tuple[int, str, bool]]] = []
+        self.text: list[tuple[int, str, bool]] = []
+        self.stack = [0]
+        self.open: dict[str, list[int]] = defaultdict(list)  # tag -> places in the stack
+        self.link = 0  # the stack's size when the open link began, 0 without one
+
+    def flush(self) -> None:
+        if self.text:
+            self.blocks.append(self.text)
+            self.text = []
+
+    def push(self, tag: str, attributes: str) -> None:
+        classes, role, named = _names(attributes) if len(attributes) > 3 else ([], False, False)
+        node, top = len(self.tags), self.stack[-1]
+        page = tag in {"html", "body"}
+        own_header = tag == "header" and (self.open["article"] or self.open["main"])
+        self.by_kind.append(tag in BOILERPLATE and tag != "form" and not own_header or role and not page)
+        self.by_name.append((named or tag == "form") and not page)
+        self.tags.append(tag)
+        self.parents.append(top)
+        label = "/" + ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)]) if tag in CONTAINERS else ""
+        self.labels.append(label)
+        self.paths.append(xxhash.xxh3_64_hexdigest(self.paths[top] + label) if label else self.paths[top])
+        self.spans.append([len(self.blocks), -1])
+        self.open[tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close elements until the stack has ``size`` ones."""
+        while len(self.stack) > size:
+            node = self.stack.pop()
+            self.open[self.tags[node]].pop()
+            self.spans[node][1] = len(self.blocks)
+        if self.link > size:
+            self.link = 0
+
+    def last(self, tags: set[str]) -> int:
+        """The last place in the stack of one of ``tags``, 0 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
+            if tag not in VOID:
+                self.cut(min([len(self.stack), *self.open["p"][-1:], *self.open["head"][-1:]]))
+        if tag == "a":
+            self.link = len(self.stack)
+        if tag in VOID or tag not in BLOCKS and (tag not in BOILERPLATE or attributes.endswith("/>")):
+            return
+        if tag in CLOSES:
+            at = self.last(CLOSES[tag])
+            if at > self.last(SCOPES[tag]):
+                self.cut(at)
+        self.push(tag, attributes)
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
+        if tag == "a":
+            self.link = 0
+        elif self.open.get(tag):
+            self.cut(self.open[tag][-1])
+
+
+def _parsed(html: str) -> _Tree:
+    tree, at = _Tree(), 0
     while at < len(html):
         m = MARKUP.search(html, at)
         upto = m.start() if m else len(html)
-        if upto > at and not stack[-1][3]:
-            text.append((html[at:upto], open_links > 0))
-        elif upto > at and not open_links:
-            while marks and marks[-1][0] >= len(stack):
-                marks.pop()
-            if marks and not stack[-1][4]:
-                plain = plain_letters([(html[at:upto], False)])
-                hidden += plain
-                for _, position in marks:
-                    if position is not None:
-                        named[position] += plain
+        if upto > at:
+            tree.text.append((tree.stack[-1], html[at:upto], tree.link > 0))
         if m is None:
             break
         at = m.end()
         if m[0] == "<!--":
             end = html.find("-->", at)
             at = len(html) if end < 0 else end + 3
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:  # an end tag: close up to its start tag, if one is open
-            if tag in BLOCKS or tag in RAW:
-                flush()
-            if tag == "a":
-                open_links = max(0, open_links - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-            continue
-        if tag in RAW:
-            flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if tag in BLOCKS:
-            flush()
-        if tag == "a":
-            open_links += 1
-        if tag in VOID or m[3].endswith("/>") and tag not in BLOCKS:
-            continue
-        if tag not in BLOCKS and tag not in BOILERPLATE:
-            continue  # an inline tag
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in CONTAINERS or stack[k][0] in {"ul", "ol", "table", "dl", "select"}:
-                    break
-        classes, role, by_name = _names(m[3]) if len(m[3]) > 3 else ([], False, False)
-        by_kind = stack[-1][4] or tag in BOILERPLATE or role and tag not in {"html", "body"}
-        by_name = by_name and tag not in {"html", "body"} and m.start() not in spared
-        bad = stack[-1][3] or by_kind or by_name
-        if by_name and not by_kind:
-            while marks and marks[-1][0] >= len(stack):
-                marks.pop()
-            marks.append((len(stack), m.start() if tag in CONTAINERS else None))
-            if tag in CONTAINERS:
-                named[m.start()] = 0
-        path = stack[-1][1]
-        container = None
-        if tag in CONTAINERS and not bad:
-            path = path + "/" + ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in classes)])
-            container = Container(path)
-            found.append(container)
-        stack.append((tag, path, container, bad, by_kind))
-    flush()
-    return found, named, hidden
+        elif m[2] is not None:
+            tag = m[2].lower()
+            if m[1]:
+                tree.end(tag)
+            elif tag in RAW:
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
+            else:
+                tree.start(tag, m[3])
+    tree.flush()
+    tree.cut(1)
+    tree.spans[0][1] = len(tree.blocks)
+    return tree
+
+
+def _spared(tree: _Tree, out_by_kind: list[bool], hidden: list[bool]) -> set[int]:
+    """Containers and forms that id, class or being a form would leave out, though they hold most of the page's text outside links."""
+    letters = [0]  # up to each block, of what isn't left out by tag or role
+    kept = [0]  # the same of what isn't left out at all
+    for block in tree.blocks:
+        letters.append(letters[-1] + plain_letters([(t, in_link) for node, t, in_link in block if not out_by_kind[node]]))
+        kept.append(kept[-1] + plain_letters([(t, in_link) for node, t, in_link in block if not hidden[node]]))
+    if any(tree.tags[k] in {"article", "main"} and not hidden[k] and kept[b] > kept[a] for k, (a, b) in enumerate(tree.spans)):
+        return set()
+    named = (k for k, x in enumerate(tree.by_name) if x and not out_by_kind[k] and tree.tags[k] in SPARED)
+    return {k for k in named if letters[tree.spans[k][1]] - letters[tree.spans[k][0]] > letters[-1] / 2}
+
+
+def page_of(html: str | None) -> Page:
+    """The blocks and containers of a page that aren't left out."""
+    tree = _parsed(html or "")
+
+    def left_out(spared: set[int], names: bool = True) -> list[bool]:
+        out = [False]
+        for k in range(1, len(tree.tags)):
+            out.append(out[tree.parents[k]] or tree.by_kind[k] or names and tree.by_name[k] and k not in spared)
+        return out
+
+    hidden = left_out(set())
+    if any(tree.by_name):
+        spared = _spared(tree, left_out(set(), names=False), hidden)
+        hidden = left_out(spared) if spared else hidden
+    blocks, sums = [], [(0, 0, 0)]
+    upto = [0]  # kept blocks before each block
+    for block in tree.blocks:
+        text = [(t, in_link) for node, t, in_link in block if not hidden[node]]
+        joined = " ".join(unescape("".join(t for t, _ in text)).split())
+        if joined:
+            blocks.append(joined)
+            letters, linked, plain = sums[-1]
+            sums.append((letters + len(joined), linked + sum(len(t) for t, in_link in text if in_link), plain + plain_letters(text)))
+        upto.append(len(blocks))
+    found = []
+    for k, (a, b) in enumerate(tree.spans):
+        if not hidden[k] and (k == 0 or tree.labels[k]):
+            first, last = upto[a], upto[b]
+            found.append(Container(tree.paths[k], k, first, last, *(y - x for x, y in zip(sums[first], sums[last], strict=True))))
+    return Page(blocks, found, tree.parents, tree.labels)
 
 
 def best_of(found: list[Container]) -> Container:
@@ -209,8 +269,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0, 0.0])
         for host, html in zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)), strict=True):
-            best = best_of(containers(html))
-            if best.blocks:
+            best = best_of(page_of(html).containers)
+            if best.last > best.first:
                 total[host, best.path][0] += 1
                 total[host, best.path][1] += round(best.score, 1)
         rows = [(h, p, int(n), s) for (h, p), (n, s) in total.items()]
@@ -220,22 +280,17 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host and path: the path with the most votes of each host's pages (url, html)."""
+    """host and path: the hash of the path with the most votes of each host's pages (url, html)."""
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, votes long, score double")
     counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum(F.col("score").cast("decimal(30,1)")).alias("score"))
     return counted.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("best")).select("host", F.col("best.path").alias("path"))
 
 
 def text_by_path(html: str | None, path: str | None) -> tuple[str, str]:
-    """The text of the containers with the path, or else of the page's best one, and the path used.
-
-    Of containers within each other, only the outer one counts.
-    """
-    found = containers(html)
-    chosen = [c for c in found if c.path == path and c.blocks]
-    if not chosen:
-        chosen = [best_of(found)]
-    return "\n".join(b for c in chosen for b in c.blocks), chosen[0].path
+    """The text of the containers with the path (a hash), or else of the page's best one, and the path used, in full."""
+    page = page_of(html)
+    chosen = [c for c in page.containers if c.path == path and c.last > c.first] or [best_of(page.containers)]
+    return "\n".join(b for c in chosen for b in page.blocks[c.first : c.last]), page.path_of(chosen[0])
 
 
 def extract(pages: DataFrame) -> DataFrame:
