@@ -28,10 +28,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_uri, materialise, shared_dir
+from tidemark.llm.common import Scratch, as_uri, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
-CHUNK = 1 << 20
+CHUNK, PART = 1 << 20, 1 << 16
 ID = "urn:page:"
 
 
@@ -81,70 +81,73 @@ def parse(data: bytes) -> tuple:
 
 
 class _Bytes:
-    """A file's bytes from a place on, read in chunks."""
+    """A file's bytes from a place on, read in chunks; ``at`` is the place in the file of the first byte not dropped."""
 
     def __init__(self, file: pa.NativeFile, at: int):
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held, self.pos = file, at, b"", 0
         file.seek(at)
 
     def more(self) -> bool:
         got = self.file.read(CHUNK)
-        self.held += got
+        self.held, self.pos = self.held[self.pos :] + got, 0
         return bool(got)
 
+    def left(self) -> int:
+        return len(self.held) - self.pos
+
+    def peek(self, start: int, n: int) -> bytes:
+        return self.held[self.pos + start : self.pos + start + n]
+
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        self.pos, self.at = self.pos + n, self.at + n
+
+    def to_magic(self) -> bool:
+        """Drop what comes before the next magic bytes; whether there are any in what is held."""
+        found = self.held.find(MAGIC, self.pos)
+        self.drop(max(0, self.left() - len(MAGIC) + 1) if found < 0 else found - self.pos)
+        return found >= 0
 
 
 def _unpack(source: _Bytes) -> bytes | None:
     """The member at the source's place, which moves past it; None at the end of the file."""
-    if not source.held and not source.more():
+    if not source.left() and not source.more():
         return None
-    unpacker, out, used = zlib.decompressobj(31), [], 0
-    while True:
-        out.append(unpacker.decompress(source.held[used:]))
-        used = len(source.held)
-        if unpacker.eof:
-            source.drop(used - len(unpacker.unused_data))
-            return b"".join(out)
-        if not source.more():
-            raise ValueError(f"the archive ends within the record at byte {source.at}")
-
-
-def _opens(source: _Bytes, at: int) -> bool:
-    """Whether a member that begins with a whole WARC header stands at ``at`` of what is held."""
-    unpacker, out, used = zlib.decompressobj(31), b"", at
+    unpacker, out, start = zlib.decompressobj(31), [], source.at
+    while not unpacker.eof:
+        if not source.left() and not source.more():
+            raise ValueError(f"the archive ends within the record at byte {start}")
+        part = source.peek(0, PART)
+        out.append(unpacker.decompress(part))
+        source.drop(len(part) - len(unpacker.unused_data))
+    return b"".join(out)
+
+
+def _opens(source: _Bytes) -> bool:
+    """Whether a member that begins with a whole WARC header stands at the source's place."""
+    unpacker, out, used = zlib.decompressobj(31), b"", 0
     while True:
         try:
-            out += unpacker.decompress(source.held[used : used + 4096])
+            out += unpacker.decompress(source.peek(used, 4096))
         except zlib.error:
             return False
-        used = min(used + 4096, len(source.held))
+        used = min(used + 4096, source.left())
         if out and not out.startswith(b"WARC/"[: len(out)]):
             return False
         if b"\r\n\r\n" in out:
             head = out.partition(b"\r\n\r\n")[0]
             return b"\r\nWARC-Record-ID: " in head and b"\r\nContent-Length: " in head
-        if unpacker.eof or used >= len(source.held) and not source.more():
+        if unpacker.eof or used >= source.left() and not source.more():
             return False
 
 
 def read_range(file: pa.NativeFile, start: int, end: int) -> Iterator[bytes]:
     """The records that start in the bytes from ``start`` up to ``end``."""
     source = _Bytes(file, start)
-    while True:  # to the first record
-        at = source.held.find(MAGIC)
-        if at < 0:
-            source.drop(max(0, len(source.held) - len(MAGIC) + 1))
-            if source.at >= end or not source.more():
-                return
-            continue
-        source.drop(at)
-        if source.at >= end:
+    while not (source.to_magic() and (source.at >= end or _opens(source))):  # to the first record
+        if source.left() >= len(MAGIC):
+            source.drop(1)  # magic bytes by chance
+        elif source.at >= end or not source.more():
             return
-        if _opens(source, 0):
-            break
-        source.drop(1)
     while source.at < end and (data := _unpack(source)) is not None:
         yield data
 
@@ -153,8 +156,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
     """Write a record for each row of ``pages`` (page_id, url, html); returns path and size of each file, a table."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     pages = pages.withColumn("sha", F.sha1("html"))
-    firsts = pages.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    both = pages.join(materialise(firsts, "warc-firsts"), "sha", "left")
+    scratch = Scratch(pages.sparkSession, "warc-files")
+    repeated = pages.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    repeated = scratch.table(repeated.where("n > 1").drop("n"), "repeated")  # so few, as a rule, that pages needn't be shuffled
+    both = pages.join(repeated, "sha", "left")
     refers_to = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +179,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{path.rpartition('/')[2]}"]), pa.array([size], pa.int64())], ["path", "size"])
 
-    return materialise(both.select("page_id", "url", "html", refers_to.alias("refers_to")).mapInArrow(run, "path string, size long"), "warc-files")
+    return scratch.result(both.select("page_id", "url", "html", refers_to.alias("refers_to")).mapInArrow(run, "path string, size long"))
 
 
-def read_archives(files: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """The rows of RESULT of all records in ``files`` (path, size), in tasks of about ``split_bytes`` each."""
+def read_archives(files: DataFrame, split_bytes: int = 128 << 20) -> DataFrame:
+    """The rows of RESULT of all records in ``files`` (path, size), in ranges of ``split_bytes``; small files share tasks."""
     ranges = files.where("size > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    count = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
-    ranges = ranges.repartition(int(count), "path", "start")  # a fixed number: the rows are few, but each is much work
+    n, size = ranges.count(), files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(1, min(n, max(-(-size // split_bytes), 3 * files.sparkSession.sparkContext.defaultParallelism)))
+    ranges = ranges.repartition(tasks, "path", "start")  # a fixed number: the rows are few, but each is much work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RESULT.split(", ")]
