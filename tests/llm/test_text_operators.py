@@ -137,6 +137,16 @@ def _check_packing(rows, texts, lib, capacity=2048):
     assert len(by) == opened
 
 
+def test_all_code_points_are_encoded_as_the_library_does():
+    """Between letters, in blocks of white space apart, and in normal forms of other letters."""
+    lib, enc = _library(WORD), bpe_automaton.encoder(WORD)
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x13000 or 0x16000 <= c < 0x17000 or c % 61 == 0)]
+    for at in range(0, len(points), 256):
+        texts = [f"a{chr(c)}a {chr(c)}1 e{chr(c)}" for c in points[at : at + 256]]
+        for text, want in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids, (hex(ord(text[1])), text)
+
+
 def test_packing(spark, sf, texts):
     _check_packing(queries.op2_best_fit_packing(spark, sf).collect(), texts, _library(BYTE))
 

@@ -45,6 +45,14 @@ def test_filters_by_brute_force(spark):
     assert url_filters.evaluate(captures.limit(0), df).count() == 0 and url_filters.evaluate(captures, df.limit(0)).where("blocked").count() == 0
 
 
+def test_filters_take_any_column_names(spark):
+    entries = spark.createDataFrame([("l", "block", "bad.org", "add", date(2024, 1, 1))], "list_name string, verdict string, pattern string, action string, listed_on date")
+    names = ["id", "url", "fetched_on", "__blocked", "__rule", "__url", "__on", "__best", "domain", "valid_from", "path"]
+    rows = [(1, "http://bad.org/", date(2024, 1, 2), *"abcdefgh"), (1, "http://bad.org/", date(2024, 1, 2), *"abcdefgh"), (2, "http://ok.org/", None, *"abcdefgh")]
+    got = url_filters.evaluate(spark.createDataFrame(rows, names), entries).collect()
+    assert [tuple(r)[3:11] for r in got] == [tuple("abcdefgh")] * 3 and sorted((r.id, r.blocked, r.rule) for r in got) == [(1, True, "l:bad.org"), (1, True, "l:bad.org"), (2, False, None)]
+
+
 def test_warc_round_trip(spark, sf):
     pages = duckdb.sql(f"select page_id, coalesce(html, '') from '{sf}/pages.parquet'").fetchall()
     first = {}
@@ -75,6 +83,18 @@ PAGE = """<html><head><title>T</title><style>x</style></head><body><nav><a href=
 <aside>Related</aside><section class="comments"><p>A reader comment that is rather long too, but is none of the article.</p></section></div><form><input>Search</form><footer>Imprint</footer></body></html>"""
 
 
+@pytest.mark.parametrize("split_bytes", [37, 1000, 5000])
+def test_warc_splits_inside_files(spark, split_bytes):
+    """Each record is read once wherever the ranges begin, also where payloads hold magic bytes or whole members."""
+    stored = warc._member(b"WARC/1.1\r\nWARC-Record-ID: <x>\r\nContent-Length: 0\r\n\r\n", 6).decode("latin-1")
+    pages = [(i, f"http://h/{i}", f"page {i} " + "\x1f\x8b\x08" * (i % 4) + "".join(chr(97 + (i * k * k) % 23) for k in range(60 * i))) for i in range(20)]
+    pages += [(30, "http://h/m", stored), (31, "http://h/e", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2, "page_id")
+    files = warc.write_archives(df, warc.new_folder(df), level=0)
+    got = [(r.page_id, r.url, r.payload.decode()) for r in warc.read_archives(files, split_bytes).collect()]
+    assert sorted(got) == pages
+
+
 def test_html(spark):
     rows = [(n, f"http://h.org/{n}", PAGE.replace("{n}", str(n)), "t") for n in range(3)]
     rows += [(10, None, None, "t"), (11, "", "", "t"), (12, "http://x.org", "<p>broken <b", "t"), (13, "http://x.org", "plain &lt;text&gt;", "t"), (14, "http://x.org", "<nav>only a menu</nav>", "t")]

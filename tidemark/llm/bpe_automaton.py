@@ -13,7 +13,8 @@ The vocabulary file holds lower-casing, NFC and white-space normalisation and a
 between white space are encoded once and kept in a bounded cache of each Python worker.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to an empty text. The strings of
-special tokens in a text become those tokens. Repeated rows give repeated results; further columns are ignored.
+special tokens in a text become those tokens. Letters that are newer than this Python's Unicode tables are told apart
+by the tokenizers library, and the automaton still encodes the words. Repeated rows give repeated results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -142,6 +143,8 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.automaton.labels |= {i: t for t, i in self.special.items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self.path, self._library = path, None
+        self.assigned: set[str] = set()  # characters met that this Python's Unicode tables hold
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self._letters = byte_letters()
@@ -160,7 +163,22 @@ class Encoder:
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
+    def _newer(self, text: str) -> list[bytes]:
+        """A text with characters that are unassigned here: normalised and split as the vocabulary file says by its library."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        found = [self.automaton.encode_word(w) for w, _ in words]
+        return [pack(f"<{len(x)}I", *x) for x in found]
+
     def _plain(self, text: str) -> list[bytes]:
+        if not text.isascii() and (unmet := set(text) - self.assigned):
+            newer = {c for c in unmet if unicodedata.category(c) == "Cn"}
+            self.assigned |= unmet - newer
+            if newer:
+                return self._newer(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()  # letter by letter: no final sigma

@@ -65,4 +65,4 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     best = met.groupBy("__url", "__on").agg(F.min(rank).alias("__best"))
     best = best.select("__url", "__on", F.col("__best.block").alias("__blocked"), F.concat("__best.list_name", F.lit(":"), "__best.pattern").alias("__rule"))
     out = at.join(best, (at[url] == best["__url"]) & (at[fetched] == best["__on"]), "left")
-    return out.select(*[at[c] for c in kept], at["host"], F.coalesce("__blocked", F.lit(False)).alias("blocked"), F.col("__rule").alias("rule"))
+    return out.select(*[at[c] for c in kept], at["host"], F.coalesce(best["__blocked"], F.lit(False)).alias("blocked"), best["__rule"].alias("rule"))
