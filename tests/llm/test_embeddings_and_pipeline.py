@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import embedding_dedup, queries
@@ -91,5 +92,19 @@ def test_stages_take_empty_tables_and_more_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("lang", "kept").withColumnRenamed("source", "n_words")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).count() == 0
-    assert corpus_pipeline.rules(spark, docs, sf).columns == docs.columns
+    odd = docs.withColumnRenamed("kept", "counts").withColumnRenamed("n_words", "own").withColumn("__row", F.lit("keep me"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns and got.where("`__row` <> 'keep me' or own is null").count() == 0 < got.count()
+    assert corpus_pipeline.pack(spark, odd.limit(0), sf).count() == 0
+
+
+def test_near_dedup_tells_texts_with_one_id_apart(spark, sf):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " end", "x"), (3, b, "x"), (4, "", "x"), (5, None, "x"), (1, a, "y"), (None, b, "z"), (None, "some text of its own here", "z"), (4, "", "x")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, own string"), sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (1, b), (4, ""), (5, None), (None, "some text of its own here")], key=str)
+
+
+def test_counts():
     assert counts_of(None) == counts_of("")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, features
 
 
 @dataclass(frozen=True)
@@ -101,12 +101,11 @@ def score_stats(stats: DataFrame, model: Discriminant) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def score_text(model: Discriminant) -> Callable[[Column], Column]:
-    """A vectorised function from a text column to its score, for use within other selections."""
+def score_counts(model: Discriminant) -> Callable[..., Column]:
+    """A vectorised function from the columns COUNTS to the score, for use within other selections."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        counts = np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS))
-        return pd.Series(model.score(counts))
+    def score(*columns: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.column_stack(columns)))
 
     return score

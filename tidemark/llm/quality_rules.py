@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, features
 
 RULES = ["word_length", "symbols", "bangs", "upper", "same_word"]
 _AT = [FEATURES.index(x) for x in RULES]
@@ -154,12 +154,12 @@ def judge_stats(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.select("doc_id", *COUNTS).mapInArrow(run, RESULT)
 
 
-def keep_text(forest: Forest) -> Callable[[Column], Column]:
-    """A vectorised function from a text column to the verdict, for use within other selections."""
+def keep_counts(forest: Forest) -> Callable[..., Column]:
+    """A vectorised function from the columns COUNTS to the verdict, for use within other selections."""
 
     @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        counts = np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS))
+    def keep(*columns: pd.Series) -> pd.Series:
+        counts = np.column_stack(columns)
         return pd.Series(~base_failed(counts) & (forest.score(counts) < forest.threshold))
 
     return keep

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -35,7 +36,11 @@ def hashed(words: list[bytes]) -> np.ndarray:
 
 
 def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
-    """Words (given by their hashes) in a window of ``window`` words found twice or more, the first one included."""
+    """Words (given by their hashes) in a window of ``window`` words found twice or more, the first one included.
+
+    Windows with equal hashes are compared word by word (by the words' hashes), so that only two words of one text
+    with one 64-bit hash could be taken for each other.
+    """
     m = len(h) - window + 1
     if m < 2:
         return 0
@@ -48,6 +53,8 @@ def repeated_words(h: np.ndarray, window: int = WINDOW) -> int:
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
         return 0
+    left, right = order[:-1][same], order[1:][same]
+    same[same] = np.logical_and.reduce([h[left + k] == h[right + k] for k in range(window)])
     twice = np.zeros(m, bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -96,6 +103,16 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches, STATS_SCHEMA)
 
 
+def counts_udf() -> Callable[[Column], Column]:
+    """A vectorised function from a text column to a struct of COUNTS, to keep them beside the text; zeros for null."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS)), columns=COUNTS)
+
+    return counted
+
+
 FEATURES = ["word_length", "symbols", "bangs", "upper", "digits", "stops", "letters", "same_word", "links"]
 #: Pseudo-counts: so many words of ordinary prose are added to each text, which keeps rates of very short texts apart from extremes.
 PRIOR_WORDS = 12.0
