@@ -3,51 +3,71 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import order_minhash, packing, quality_classifier, quality_rules
-from tidemark.llm.common import materialise, table
-from tidemark.llm.text_stats import text_stats
+from tidemark.llm.common import fresh, materialise, table
+from tidemark.llm.text_stats import COUNTS, counts_udf
 
 
-def _where(docs: DataFrame, verdict) -> DataFrame:
-    """Rows for which ``verdict`` of the text holds; columns stay as they are, whatever their names."""
-    name = "__verdict"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, verdict(F.col("text"))).where(F.col(name)).drop(name)
+def _counted(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[Column], str]:
+    """``docs`` written with their counts beside them, the counts by doc_id, the counts' columns and the column they are in."""
+    at = fresh("counts", *docs.columns)
+    counted = materialise(docs.withColumn(at, counts_udf()(F.col("text"))), name)
+    columns = [F.col(f"`{at}`")[c] for c in COUNTS]
+    return counted, counted.select(F.col("doc_id").cast("long").alias("doc_id"), *(x.alias(c) for x, c in zip(columns, COUNTS, strict=True))), columns, at
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the isolation forest."""
-    stats = materialise(text_stats(docs), "rules-stats")
-    return _where(docs, quality_rules.keep_text(quality_rules.fit(stats, table(spark, sf_dir, "labels"))))
+    """Documents that pass the base rules and the isolation forest.
+
+    Null, empty and short texts fail. Rows that repeat are judged alike, and columns stay as they are, whatever their
+    names. An empty table gives an empty result.
+    """
+    counted, stats, columns, at = _counted(docs, "rules-counted")
+    keep = quality_rules.keep_counts(quality_rules.fit(stats, table(spark, sf_dir, "labels")))
+    return counted.where(keep(*columns)).drop(at)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the discriminant scores 0.5 or more."""
-    stats = materialise(text_stats(docs), "classifier-stats")
+    """Documents that the discriminant scores 0.5 or more, a text without words by what it scores.
+
+    Rows that repeat are scored alike, and columns stay as they are, whatever their names. An empty table gives an
+    empty result; without labels every document stays.
+    """
+    counted, stats, columns, at = _counted(docs, "classifier-counted")
     labels = table(spark, sf_dir, "labels")
-    score = quality_classifier.score_text(quality_classifier.fit(stats, labels.where(~quality_classifier.held_out(labels["doc_id"]))))
-    return _where(docs, lambda text: score(text) >= 0.5)
+    score = quality_classifier.score_counts(quality_classifier.fit(stats, labels.where(~quality_classifier.held_out(labels["doc_id"]))))
+    return counted.where(score(*columns) >= 0.5).drop(at)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest doc_id, and those without a doc_id.
+    """One document of each class of near-duplicates, the one with the smallest doc_id (null ones last).
 
-    Of rows that repeat a doc_id, one stays.
+    Documents are told apart by doc_id and text, so that two texts with one doc_id are compared like any others. Of rows
+    that repeat both, one stays. Null and empty texts, and those of white space only, are classes of their own. Columns
+    stay as they are, whatever their names. An empty table gives an empty result.
     """
-    kept = order_minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    first = docs.join(materialise(kept, "dedup-kept"), "doc_id", "left_semi").withColumn("__row", F.row_number().over(own)).where("__row = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own = fresh("own", *docs.columns)
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    rows = keyed.groupBy(F.col(own).alias("own")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    classes = order_minhash.near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "class_id").distinct()
+    first = classes.join(rows, "own").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "own", "n")).alias("first"))
+    kept = materialise(first.select(F.col("first.own").alias(own), F.col("first.n").alias("n")), "dedup-kept")
+    once = keyed.join(kept.where("n = 1").select(own), own, "left_semi")
+    repeated = keyed.join(kept.where("n > 1").select(own), own, "left_semi").dropDuplicates([own])
+    return once.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces of the documents in sequences of 2048 tokens."""
+    """The places of all pieces of the documents in sequences of 2048 tokens.
+
+    A null text is an empty one. Rows that repeat are packed each; further columns are left out. An empty table gives an
+    empty result.
+    """
     pieces = packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.best_fit(materialise(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pack-pieces"))
+    return packing.best_fit(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("order_minhash", near_dedup), ("best_fit_packing", pack)]
