@@ -35,6 +35,51 @@ def test_snapshots_equal_a_replay(versions, snapshot):
     assert {tuple(r) for r in reads.live_at(versions, snapshot).collect()} == _replay(ROWS, snapshot)
 
 
+def test_large_sequence_numbers(spark):
+    top = 2**55
+    rows = [("a", top + 1, 0, 1.0), ("a", top + 3, 0, 3.0), ("a", top + 2, 1, None), ("b", top + 5, 1, None), ("b", top + 4, 0, 4.0), ("c", 2**56 - 1, 0, 5.0), ("d", 2**61 - 1, 0, 6.0)]
+    got = {tuple(r) for r in reads.newest(spark.createDataFrame(rows, V)).collect()}
+    assert got == {("a", top + 3, 0, 3.0), ("b", top + 5, 1, None), ("c", 2**56 - 1, 0, 5.0), ("d", 2**61 - 1, 0, 6.0)}
+
+
+def test_lookup_from_level_to_level(spark):
+    rows = [("a", 9, 0, 9.0, 1, 1), ("a", 5, 0, 5.0, 0, 7), ("a", 7, 0, 7.0, 0, 6), ("b", 3, 1, None, 0, 8), ("b", 2, 0, 2.0, 1, 1), ("c", 1, 0, 1.0, 2, 2), ("c", 4, 0, 4.0, 2, 2)]
+    located = spark.createDataFrame(rows, V + ", level int, number long")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",), ("x",), ("a",)], "key string")
+    assert {tuple(r) for r in reads.get_by_level(located, keys).collect()} == {("a", 0, 7, 5, 5.0), ("c", 2, 2, 4, 4.0)}
+    assert {tuple(r) for r in reads.get_by_level(located, keys, 2).collect()} == {("b", 1, 1, 2, 2.0), ("c", 2, 2, 1, 1.0)}
+
+
+def test_ordered_scans(versions):
+    assert [r.key for r in reads.ordered(versions).collect()] == ["a", "b", "c"]
+    assert [r.key for r in reads.ordered(versions, "b", reverse=True).collect()] == ["c", "b"]
+
+
+def test_malformed_batches_are_errors(spark):
+    schema = "batch_id long, ops array<struct<rtype int, key string, value string>>, n_ops int"
+    rows = [(0, [(0, "a", "x")], 1), (1, [(2, "a", "x")], 1), (2, [(0, None, "x")], 1), (3, [(1, "a", None)], 2), (4, None, 0), (5, [], 0), (6, [(None, "a", "x")], 1)]
+    df = spark.createDataFrame(rows, schema)
+    assert {tuple(r) for r in batches.errors(df).collect()} == {(1, "type"), (2, "key"), (3, "count"), (4, "count"), (6, "type")}
+    assert [tuple(r) for r in batches.apply(df.where("batch_id in (0, 4, 5)")).collect()] == [("a", 1, 0, "x")]
+    for bad in (1, 2, 6):
+        with pytest.raises(Exception, match=f"malformed batch {bad}"):
+            batches.apply(df.where(F.col("batch_id").isin(0, bad))).collect()
+
+
+def test_range_is_widened_until_nothing_is_added(spark):
+    rows = [(0, 1, "a", "c"), (0, 2, "c", "e"), (0, 3, "e", "g"), (0, 4, "h", "k"), (0, 5, "x", "z"), (1, 6, "a", "z")]
+    files = spark.createDataFrame([(*r, 10) for r in rows], "level int, number long, smallest string, largest string, file_size long")
+    numbers = lambda low, high: sorted(r.number for r in prune.widened(files, low, high).collect())
+    assert numbers("a", "b") == [1, 2, 3] and numbers("f", "h") == [1, 2, 3, 4] and numbers("l", "m") == [] and numbers(None, None) == [1, 2, 3, 4, 5]
+
+
+def test_files_are_cut_by_size(spark):
+    rows = [(f"k{i:03d}", j, 0, 1.0) for i in range(50) for j in range(1 + i % 3)]
+    got = compaction.cut_by_size(spark.createDataFrame(rows, V), 280, parts=7).collect()
+    below = lambda k: sum(28 for r in rows if r[0] < k)
+    assert {(r.key, r.file) for r in got} == {(r[0], below(r[0]) // 280) for r in rows} and len(got) == len(rows)
+
+
 def test_put_of_nothing_is_not_a_deletion(versions):
     assert [tuple(r) for r in reads.get(versions, "c").collect()] == [("c", 4, None)]
     assert reads.get(versions, "d").count() == 0
@@ -47,23 +92,24 @@ def test_as_of(spark, versions):
     assert got == {(k, s, q, v) for s in range(9) for k, q, v in _replay(ROWS, s)}
 
 
-@pytest.mark.parametrize("prefix", [0, 1, 2, 9])
-def test_order_lookups(spark, prefix):
-    names = ["", "a", "ab", "abc", "b", "ba", "c", "cz"]
+@pytest.mark.parametrize("parts", [1, 2, 3, 64])
+def test_order_lookups(spark, parts):
+    names = ["", "a", "a'b\\", "ab", "b", "ba", "c\u00e9", "c\U0001f642"]
     keys = spark.createDataFrame([(k,) for k in names], "key string")
-    assert {r.key: (r.prev_key, r.next_key) for r in next_and_previous(keys, prefix).collect()} == {k: (names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None) for i, k in enumerate(names)}
-    asked = ["", "aa", "abc", "abd", "bb", "d"]
-    got = successor(spark.createDataFrame([(t,) for t in asked], "target string"), keys, prefix).collect()
+    assert {r.key: (r.prev_key, r.next_key) for r in next_and_previous(keys, parts).collect()} == {k: (names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None) for i, k in enumerate(names)}
+    asked = ["", "aa", "a'b", "abd", "bb", "d"]
+    got = successor(spark.createDataFrame([(t,) for t in asked], "target string"), keys, parts).collect()
     assert {r.target: r.found for r in got} == {t: min((k for k in names if k >= t), default=None) for t in asked}
+    assert next_and_previous(keys.limit(0), parts).count() == 0
 
 
 @pytest.mark.parametrize("closed", [True, False])
 def test_weights_of_overlaps(spark, closed):
     spans = [("a", "c", 1), ("b", "b", 2), ("c", "f", 4), ("ca", "d", 8), ("g", "h", 16)]
-    df = spark.createDataFrame(spans, "lo string, hi string, w long")
+    df = spark.createDataFrame(spans, "first string, last string, w long")
     asked = [(1, "a", "b"), (2, "b", "c"), (3, "d", "g"), (4, "i", "j"), (5, None, "b"), (6, "f", None), (7, None, None)]
     rows = spark.createDataFrame([(*r, closed) for r in asked], "id long, low string, high string, closed boolean")
-    got = weight_between(rows, df.select(F.col("lo").alias("key"), "w"), df.select(F.col("hi").alias("key"), "w"), 1)
+    got = weight_between(rows, df, 3)
     over = lambda a, b, lo, hi: (a is None or hi >= a) and (b is None or (lo <= b if closed else lo < b))
     assert {r.id: r.w for r in got.collect()} == {i: sum(w for lo, hi, w in spans if over(a, b, lo, hi)) for i, a, b in asked}
 
@@ -148,6 +194,16 @@ def test_store_and_stream(spark, tmp_path):
     assert store.read(spark, str(tmp_path / "copy")).count() == 4
 
 
+def test_no_pass_of_rows_through_one_task(spark, sf):
+    """Only summaries, which have a row for each range, are in one partition, and a seek is one window over the ranges."""
+    for name in ("seek_ge", "next_key", "find_table", "overlap_counts", "approx_sizes", "batch_apply"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "SinglePartition" in line:
+                assert any("Aggregate(key" in x and "__part" in x for x in lines[i + 1 : i + 3]), (name, lines[i : i + 3])
+
+
 def test_rows_only_queries(spark, sf):
     probe = catalog.QUERIES["bloom_probe"](spark, sf)
     assert probe.where("not may_match and key like 'user%'").count() == 0

@@ -56,6 +56,15 @@ def batches(spark: SparkSession, sf_dir: str, size: int = 100) -> DataFrame:
     return grouped.select("batch_id", F.transform("ops", lambda o: F.struct(o.rtype.alias("rtype"), o.key.alias("key"), o.value.alias("value"))).alias("ops"))
 
 
+def faulty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """batch_id, ops and n_ops of the events' batches, of which some have a wrong count, an unknown type or no key."""
+    e = load(spark, sf_dir, "events")
+    key = F.when(F.col("event_id") % 1511 != 7, _padded("user", "user_id", 8))
+    op = F.struct("event_id", F.when(F.col("event_id") % 1103 == 5, 7).otherwise(PUT).alias("rtype"), key.alias("key"), "value")
+    grouped = e.groupBy(F.expr("event_id div 100").alias("batch_id")).agg(F.array_sort(F.collect_list(op)).alias("ops"))
+    return grouped.withColumn("n_ops", F.size("ops") + (F.col("batch_id") % 10 == 3).cast("int"))
+
+
 def located_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' versions with the number and the level of the file that holds each."""
     number = F.floor((F.col("seq") - 1) / 2500) * 40 + F.floor(F.substring("key", 5, 8).cast("long") / 7)

@@ -8,23 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import bloom_hashes, bloom_positions
-from tidemark.functions.order import successor, weight_between
+from tidemark.functions.keys import LEVELS, bloom_hashes, bloom_positions
+from tidemark.functions.order import PARTS, successor, weight_between
 
 
-def find_table(keys: DataFrame, files: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def find_table(keys: DataFrame, files: DataFrame, parts: int = PARTS) -> DataFrame:
     """key, level and number of the first file of each level whose largest key is at or after the key."""
-    ends = files.groupBy("level", "largest").agg(F.min("number").alias("number"))
-    asked = keys.select("key").distinct().join(files.select("level").distinct().withColumn("l", F.explode(F.array("level"))).select("level"), how="cross")  # seven levels at most
-    met = successor(asked.select("level", F.col("key").alias("target")), ends.select("level", F.col("largest").alias("key")), prefix_chars, ["level"])
-    return met.join(ends, (met["level"] == ends["level"]) & (met["found"] == ends["largest"])).select(F.col("target").alias("key"), met["level"], "number")
+    levels = F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))
+    asked = keys.select("key").distinct().select(levels.alias("level"), F.col("key").alias("target"))
+    met = successor(asked, files.select("level", F.col("largest").alias("key"), "number"), parts, ["level"], carry="number")
+    return met.where("found is not null").select(F.col("target").alias("key"), "level", "number")
 
 
-def overlap_counts(ranges: DataFrame, files: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def overlap_counts(ranges: DataFrame, files: DataFrame, parts: int = PARTS) -> DataFrame:
     """level, id and n_files: how many files of the level overlap each closed range (level, id, low, high); null bounds are open."""
-    starts = files.select("level", F.col("smallest").alias("key"), F.lit(1).alias("w"))
-    ends = files.select("level", F.col("largest").alias("key"), F.lit(1).alias("w"))
-    return weight_between(ranges.withColumn("closed", F.lit(True)), starts, ends, prefix_chars, ["level"]).withColumnRenamed("w", "n_files")
+    spans = files.select("level", F.col("smallest").alias("first"), F.col("largest").alias("last"), F.lit(1).alias("w"))
+    return weight_between(ranges.withColumn("closed", F.lit(True)), spans, parts, ["level"]).withColumnRenamed("w", "n_files")
 
 
 def overlapping(files: DataFrame, level: int, low: str | None, high: str | None) -> DataFrame:
@@ -48,6 +47,18 @@ def islands(files: DataFrame) -> DataFrame:
     return gap.select("level", "number", F.sum("gap").over(order).alias("island"))
 
 
+def widened(files: DataFrame, low: str | None, high: str | None) -> DataFrame:
+    """The files of level 0 that overlap [low, high], that range being widened by each of them until nothing is added."""
+    own = islands(files.where("level = 0")).select("number", "island")
+    files = files.join(own, "number")
+    spans = files.groupBy("island").agg(F.min("smallest").alias("from"), F.max("largest").alias("to"))
+    if low is not None:
+        spans = spans.where(F.col("to") >= low)
+    if high is not None:
+        spans = spans.where(F.col("from") <= high)
+    return files.where("level = 0").join(spans.select("island"), "island", "left_semi").drop("island")
+
+
 def bloom_bits(keys: DataFrame, slot: str, bits_per_key: int = 10) -> DataFrame:
     """slot, n_bits and bit: the bits set in the filter of each slot by its distinct keys (slot, key)."""
     keys = keys.select(slot, "key").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import packed_order
-from tidemark.functions.order import next_and_previous, successor
+from tidemark.functions.order import PARTS, next_and_previous, successor
 
 
 def newest(versions: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def newest(versions: DataFrame) -> DataFrame:
     """
     order = packed_order(F.col("seq"), F.col("rtype"))
     best = versions.groupBy("key").agg(F.max(order).alias("o"), F.max_by("value", order).alias("value"))
-    return best.select("key", F.floor(F.col("o") / 4).cast("long").alias("seq"), F.pmod("o", F.lit(4)).cast("int").alias("rtype"), "value")
+    return best.select("key", F.shiftright("o", 2).alias("seq"), F.col("o").bitwiseAND(3).cast("int").alias("rtype"), "value")
 
 
 def live(versions: DataFrame) -> DataFrame:
@@ -73,9 +73,29 @@ def prefix_scan(versions: DataFrame, prefix: str) -> DataFrame:
     return live(versions.where(F.col("key").startswith(prefix)))
 
 
-def seek(versions: DataFrame, targets: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def ordered(versions: DataFrame, start: str | None = None, limit: str | None = None, reverse: bool = False) -> DataFrame:
+    """The live rows with start <= key < limit in the order of their keys, or backwards: what a cursor walks."""
+    return scan(versions, start, limit).orderBy(F.desc("key") if reverse else F.asc("key"))
+
+
+def get_by_level(located: DataFrame, keys: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """key, level, number, seq and value of each of ``keys`` (key) that is live, by a look-up from level to level.
+
+    ``located`` are versions with the level and the number of their file. Level 0 is asked first, there the newest file
+    (the largest number) first, then the levels below; the first file with a version of the key decides, by its newest
+    version, and a delete marker ends the search. It is one aggregation with partial sums, not a pass for each level.
+    """
+    if snapshot is not None:
+        located = located.where(F.col("seq") <= snapshot)
+    place = F.struct("level", F.when(F.col("level") == 0, -F.col("number")).otherwise(0).alias("age"), (-packed_order(F.col("seq"), F.col("rtype"))).alias("o"))
+    wanted = located.join(keys.select("key").distinct(), "key", "left_semi")
+    first = wanted.groupBy("key").agg(F.min_by(F.struct("level", "number", "seq", "rtype", "value"), place).alias("v"))
+    return first.where("v.rtype = 0").select("key", "v.level", "v.number", "v.seq", "v.value")
+
+
+def seek(versions: DataFrame, targets: DataFrame, parts: int = PARTS) -> DataFrame:
     """target and found: the first live key at or after each of ``targets`` (target), null past the end."""
-    return successor(targets.select("target"), live(versions).select("key"), prefix_chars)
+    return successor(targets.select("target"), live(versions).select("key"), parts)
 
 
 def ends(versions: DataFrame) -> DataFrame:
@@ -83,9 +103,9 @@ def ends(versions: DataFrame) -> DataFrame:
     return live(versions).agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-def neighbours(versions: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def neighbours(versions: DataFrame, parts: int = PARTS) -> DataFrame:
     """key, next_key and prev_key of each live key."""
-    return next_and_previous(live(versions), prefix_chars)
+    return next_and_previous(live(versions), parts)
 
 
 def contains(versions: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.order import weight_below, weight_between
+from tidemark.functions.order import PARTS, weight_below, weight_between
 
 
-def approximate_sizes(ranges: DataFrame, files: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def approximate_sizes(ranges: DataFrame, files: DataFrame, parts: int = PARTS) -> DataFrame:
     """id and n_bytes: the sizes of all files that overlap each half-open range (id, low, high)."""
-    starts, ends = (files.select(F.col(c).alias("key"), F.col("file_size").alias("w")) for c in ("smallest", "largest"))
-    return weight_between(ranges.withColumn("closed", F.lit(False)), starts, ends, prefix_chars).withColumnRenamed("w", "n_bytes")
+    spans = files.select(F.col("smallest").alias("first"), F.col("largest").alias("last"), F.col("file_size").alias("w"))
+    return weight_between(ranges.withColumn("closed", F.lit(False)), spans, parts).withColumnRenamed("w", "n_bytes")
 
 
-def approximate_offsets(points: DataFrame, files: DataFrame, prefix_chars: int = 9) -> DataFrame:
+def approximate_offsets(points: DataFrame, files: DataFrame, parts: int = PARTS) -> DataFrame:
     """id and offset: the sizes of all files wholly before each key (id, key)."""
     ends = files.select(F.col("largest").alias("key"), F.col("file_size").alias("w"))
-    return weight_below(points.withColumn("at_key", F.lit(False)), ends, prefix_chars).withColumnRenamed("below", "offset")
+    return weight_below(points.withColumn("at_key", F.lit(False)), ends, parts).withColumnRenamed("below", "offset")
 
 
 def describe_tables(files: DataFrame) -> DataFrame:

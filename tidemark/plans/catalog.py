@@ -71,9 +71,9 @@ def get_key(spark, d):
 SNAP = f"{EV}, sn AS (SELECT * FROM ev WHERE seq <= {SNAPSHOT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
 
 
-@query(f"WITH {SNAP} SELECT key, seq, value FROM sn WHERE rtype = 0 AND key = 'user00000042'")
+@query(f"WITH {SNAP} SELECT key, seq, value FROM sn WHERE rtype = 0 AND key = 'user00000005'")
 def get_at_snapshot(spark, d):
-    return reads.get(V.event_versions(spark, d), "user00000042", SNAPSHOT)
+    return reads.get(V.event_versions(spark, d), "user00000005", SNAPSHOT)
 
 
 @query(f"WITH {SNAP} SELECT key, seq, value FROM sn WHERE rtype = 0")
@@ -109,6 +109,22 @@ def seek_ge(spark, d):
     return reads.seek(V.event_versions(spark, d), customers(spark, d).select(F.col("key").alias("target")))
 
 
+@query(f"WITH {LIVE} SELECT * FROM live WHERE key >= '{LOW}' ORDER BY key")
+def ordered_scan(spark, d):
+    return reads.ordered(V.event_versions(spark, d), LOW)
+
+
+@query(f"WITH {LIVE} SELECT * FROM live ORDER BY key DESC")
+def ordered_reverse_scan(spark, d):
+    return reads.ordered(V.event_versions(spark, d), reverse=True)
+
+
+@query(f"""WITH {FL}, {CU} SELECT key, level, number, seq, value FROM loc WHERE key IN (SELECT key FROM cu)
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY level, CASE WHEN level = 0 THEN -number ELSE 0 END, seq DESC) = 1 AND rtype = 0""")
+def get_by_level(spark, d):
+    return reads.get_by_level(V.located_versions(spark, d), customers(spark, d))
+
+
 @query(f"WITH {LIVE} SELECT min(key) AS first_key, max(key) AS last_key FROM live")
 def seek_first_last(spark, d):
     return reads.ends(V.event_versions(spark, d))
@@ -154,6 +170,15 @@ def batch_count(spark, d):
     return batches.counts(V.batches(spark, d))
 
 
+FAULTY = """ev AS (SELECT event_id // 100 AS batch_id, event_id % 1103 = 5 AS bad_type, event_id % 1511 = 7 AS no_key, event_id FROM events)"""
+
+
+@query(f"""WITH {FAULTY}, b AS (SELECT batch_id, batch_id % 10 = 3 AS miscounted, bool_or(bad_type) AS bad_type, bool_or(no_key) AS no_key FROM ev GROUP BY batch_id)
+SELECT batch_id, CASE WHEN miscounted THEN 'count' WHEN bad_type THEN 'type' ELSE 'key' END AS error FROM b WHERE miscounted OR bad_type OR no_key""")
+def batch_errors(spark, d):
+    return batches.errors(V.faulty_batches(spark, d))
+
+
 @query("""SELECT 'p' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') AS key, l_orderkey * 8 + l_linenumber AS seq, CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INTEGER) AS rtype,
   min(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice END) AS value FROM lineitem GROUP BY 1, 2, 3""")
 def dedupe_exact(spark, d):
@@ -214,6 +239,13 @@ def overlap_islands(spark, d):
     return prune.islands(V.files(spark, d))
 
 
+@query(f"""WITH {FL}, g AS (SELECT *, CASE WHEN smallest > max(largest) OVER (ORDER BY smallest, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS gap FROM fl WHERE level = 0),
+i AS (SELECT *, sum(gap) OVER (ORDER BY smallest, number) AS island FROM g)
+SELECT level, number, smallest, largest, file_size FROM i WHERE island IN (SELECT island FROM i WHERE smallest <= '{HIGH}' AND largest >= '{LOW}')""")
+def overlap_widened(spark, d):
+    return prune.widened(V.files(spark, d), LOW, HIGH)
+
+
 @query(f"WITH {EV} SELECT (seq - 1) * 100 // 2048 AS slot, count(DISTINCT key) AS n_keys FROM ev GROUP BY 1")
 def filter_slots(spark, d):
     return prune.filter_slots(V.event_versions(spark, d).select(((F.col("seq") - 1) * 100).alias("offset"), "key"))
@@ -269,6 +301,13 @@ def compact_drop(spark, d):
     return compaction.rewrite(V.event_versions(spark, d), 8, drop=True)
 
 
+@query(f"""WITH {EV}, s AS (SELECT key, sum(strlen(key) + CASE WHEN value IS NULL THEN 0 ELSE 8 END + 16) AS w FROM ev GROUP BY key),
+f AS (SELECT key, CAST(coalesce(sum(w) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 65536 AS BIGINT) AS file FROM s)
+SELECT key, seq, CAST(rtype AS INTEGER) AS rtype, value, file FROM ev JOIN f USING (key)""")
+def compact_by_size(spark, d):
+    return compaction.cut_by_size(V.event_versions(spark, d), 65536)
+
+
 @query(f"""WITH {LIVE} SELECT key, seq, 0 AS rtype, value FROM live WHERE key BETWEEN '{LOW}' AND '{HIGH}'
 UNION ALL SELECT key, seq, rtype, value FROM ev WHERE key NOT BETWEEN '{LOW}' AND '{HIGH}'""")
 def compact_range(spark, d):
@@ -324,6 +363,14 @@ def common_prefix(spark, d):
     return pairs.select("key", "next_key", K.common_prefix(F.col("key"), F.col("next_key")).alias("shared"))
 
 
+@query(f"""WITH {LIVE}, n AS (SELECT key, lead(key) OVER (ORDER BY key) AS next_key FROM live),
+p AS (SELECT key, next_key, left(next_key, 1 + len(list_filter(range(1, length(key) + 1), lambda i: left(key, i) = left(next_key, i)))) AS k FROM n WHERE next_key IS NOT NULL)
+SELECT key, next_key, CASE WHEN key <= k AND k < next_key THEN k ELSE key END AS short_key FROM p""")
+def separator(spark, d):
+    pairs = reads.neighbours(V.event_versions(spark, d)).where("next_key is not null")
+    return pairs.select("key", "next_key", K.separator(F.col("key"), F.col("next_key")).alias("short_key"))
+
+
 _NAMES = "SELECT number, 'db/' || lpad(CAST(number AS VARCHAR), 6, '0') || '.log' AS log, 'db/' || lpad(CAST(number AS VARCHAR), 6, '0') || '.ldb' AS tab, 'db/MANIFEST-' || lpad(CAST(number AS VARCHAR), 6, '0') AS descriptor, 'db/CURRENT' AS cur FROM fl"
 
 
