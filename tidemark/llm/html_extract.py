@@ -216,13 +216,14 @@ def _parsed(html: str) -> _Tree:
 
 def _spared(tree: _Tree, out_by_kind: list[bool], hidden: list[bool]) -> set[int]:
     """Containers and forms that id, class or being a form would leave out, though they hold most of the page's text outside links."""
+    for k, (a, b) in enumerate(tree.spans):
+        if tree.tags[k] in {"article", "main"} and not hidden[k]:
+            pieces = (x for block in tree.blocks[a:b] for x in block)
+            if any(not in_link and not hidden[node] and not t.isspace() for node, t, in_link in pieces):
+                return set()
     letters = [0]  # up to each block, of what isn't left out by tag or role
-    kept = [0]  # the same of what isn't left out at all
     for block in tree.blocks:
         letters.append(letters[-1] + plain_letters([(t, in_link) for node, t, in_link in block if not out_by_kind[node]]))
-        kept.append(kept[-1] + plain_letters([(t, in_link) for node, t, in_link in block if not hidden[node]]))
-    if any(tree.tags[k] in {"article", "main"} and not hidden[k] and kept[b] > kept[a] for k, (a, b) in enumerate(tree.spans)):
-        return set()
     named = (k for k, x in enumerate(tree.by_name) if x and not out_by_kind[k] and tree.tags[k] in SPARED)
     return {k for k in named if letters[tree.spans[k][1]] - letters[tree.spans[k][0]] > letters[-1] / 2}
 
