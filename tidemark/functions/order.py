@@ -2,7 +2,8 @@
 
 Keys are dealt to ranges between split points, which are taken from a bounded sample of the keys. Rows are sorted within
 their ranges, and a summary with a row for each range carries results from range to range. ``parts`` says how many ranges
-there are at most; it never changes a result. Keys are strings, or longs where ``sentinels`` aren't needed.
+there are at most; it never changes a result, nor does ``sample``, a table with the column key to take the sample from
+where the keys themselves are the outcome of a long computation. Keys are strings, or longs where ``sentinels`` aren't needed.
 """
 
 from __future__ import annotations
@@ -47,10 +48,10 @@ def part_of(key: str, cuts: list) -> Column:
     return F.expr(tree(0, len(cuts)))
 
 
-def next_and_previous(keys: DataFrame, parts: int = PARTS) -> DataFrame:
+def next_and_previous(keys: DataFrame, parts: int = PARTS, sample: DataFrame | None = None) -> DataFrame:
     """key, next_key and prev_key of each distinct key of ``keys``; null at the ends."""
     keys = keys.select("key").where("key is not null").distinct()
-    keys = keys.withColumn("__part", part_of("key", split_points(keys, "key", parts)))
+    keys = keys.withColumn("__part", part_of("key", split_points(sample or keys, "key", parts)))
     own, all_parts = Window.partitionBy("__part").orderBy("key"), Window.orderBy("__part")  # a row for each range
     ends = keys.groupBy("__part").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     ends = ends.select("__part", F.lead("low").over(all_parts).alias("after"), F.lag("high").over(all_parts).alias("before"))
@@ -58,7 +59,7 @@ def next_and_previous(keys: DataFrame, parts: int = PARTS) -> DataFrame:
     return near.join(F.broadcast(ends), "__part").select("key", F.coalesce("n", "after").alias("next_key"), F.coalesce("p", "before").alias("prev_key"))
 
 
-def successor(targets: DataFrame, keys: DataFrame, parts: int = PARTS, by: list[str] | None = None, carry: str | None = None) -> DataFrame:
+def successor(targets: DataFrame, keys: DataFrame, parts: int = PARTS, by: list[str] | None = None, carry: str | None = None, sample: DataFrame | None = None) -> DataFrame:
     """``targets`` (by and target) with found: the smallest key of ``keys`` (by and key) at or after each target, or null.
 
     ``carry`` names a column of ``keys`` to give back with the key; of equal keys, the one with its smallest value is found.
@@ -68,18 +69,19 @@ def successor(targets: DataFrame, keys: DataFrame, parts: int = PARTS, by: list[
     extra = F.col(carry) if carry else F.lit(None).cast("long")
     found = keys.select(*by, "key", F.struct("key", extra.alias("extra")).alias("k"))
     both = found.unionByName(targets.select(*by, F.col("target").alias("key")).withColumn("k", F.lit(None).cast(found.schema["k"].dataType)))
-    both = both.withColumn("__part", part_of("key", split_points(keys, "key", parts)))
-    own = Window.partitionBy(*by, "__part").orderBy("key").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    later = Window.partitionBy(*by).orderBy("__part").rowsBetween(1, Window.unboundedFollowing)  # a row for each range
+    both = both.withColumn("__part", part_of("key", split_points(sample or keys, "key", parts)))
+    # backwards, as Spark evaluates frames that grow in one pass, but those that shrink anew for each row
+    own = Window.partitionBy(*by, "__part").orderBy(F.desc("key")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     firsts = both.groupBy(*by, "__part").agg(F.min("k").alias("low")).select(*by, "__part", F.min("low").over(later).alias("after"))
     at = both.withColumn("own", F.min("k").over(own)).where("k is null")
     met = at.join(F.broadcast(firsts), [*by, "__part"]).withColumn("found", F.coalesce("own", "after"))
     return met.select(*by, F.col("key").alias("target"), F.col("found.key").alias("found"), *([F.col("found.extra").alias(carry)] if carry else []))
 
 
-def _running(rows: DataFrame, sums: list[str], parts: int, by: list[str]) -> DataFrame:
+def _running(rows: DataFrame, sums: list[str], parts: int, by: list[str], sample: DataFrame) -> DataFrame:
     """``rows`` (by, key, rank, and the columns ``sums``) with each sum over the rows up to (key, rank) in place of the row's own."""
-    rows = rows.withColumn("__part", part_of("key", split_points(rows, "key", parts)))
+    rows = rows.withColumn("__part", part_of("key", split_points(sample, "key", parts)))
     own = Window.partitionBy(*by, "__part").orderBy("key", "rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = rows.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
@@ -87,7 +89,7 @@ def _running(rows: DataFrame, sums: list[str], parts: int, by: list[str]) -> Dat
     return rows.withColumns({c: F.sum(c).over(own) for c in sums}).join(F.broadcast(before), [*by, "__part"]).withColumns({c: F.col(c) + F.col(f"__{c}") for c in sums})
 
 
-def weight_below(points: DataFrame, weights: DataFrame, parts: int = PARTS, by: list[str] | None = None) -> DataFrame:
+def weight_below(points: DataFrame, weights: DataFrame, parts: int = PARTS, by: list[str] | None = None, sample: DataFrame | None = None) -> DataFrame:
     """``points`` (by, id, key, at_key) with below: the sum of w over ``weights`` (by, key, w) with a smaller key.
 
     Where at_key is true, keys equal to the point's count too. A null point is below all keys.
@@ -96,14 +98,15 @@ def weight_below(points: DataFrame, weights: DataFrame, parts: int = PARTS, by:
     rank = F.when(F.col("at_key"), 2).otherwise(0)
     asked = points.select(*by, "id", "key", rank.alias("rank"), F.lit(0).cast("long").alias("below"))
     both = asked.unionByName(weights.select(*by, F.lit(None).cast(asked.schema["id"].dataType).alias("id"), "key", F.lit(1).alias("rank"), F.col("w").cast("long").alias("below")))
-    return _running(both, ["below"], parts, by).where("rank <> 1").select(*by, "id", "below")
+    return _running(both, ["below"], parts, by, sample or points).where("rank <> 1").select(*by, "id", "below")
 
 
 def weight_between(ranges: DataFrame, spans: DataFrame, parts: int = PARTS, by: list[str] | None = None) -> DataFrame:
     """by, id and w: the weight of all ``spans`` (by, first, last, w) that overlap each range (by, id, low, high, closed).
 
     What overlaps is what starts before the range's end, without what ends before its start; both are read off in one
-    pass. A null low is before all keys; a null high, after. ids are distinct within ``by``.
+    pass. A null low is before all keys; a null high, after. ids are distinct within ``by``. The split points are taken from
+    the ranges, which are many beside the spans.
     """
     by = by or []
     ends = F.array(F.struct(F.col("first").alias("key"), F.col("w").cast("long").alias("begun"), F.lit(0).cast("long").alias("over")), F.struct(F.col("last").alias("key"), F.lit(0).cast("long").alias("begun"), F.col("w").cast("long").alias("over")))
@@ -113,6 +116,6 @@ def weight_between(ranges: DataFrame, spans: DataFrame, parts: int = PARTS, by:
     points = ranges.select(*by, "id", F.inline(asked))
     # an open end comes before what starts at it; 3 tells it from the start, and sorts as -1
     points = points.withColumn("open", F.col("rank") == 3).withColumn("rank", F.when(F.col("open"), -1).otherwise(F.col("rank")))
-    met = _running(points.unionByName(weights.withColumn("open", F.lit(False))), ["begun", "over"], parts, by).where("rank <> 1")
+    met = _running(points.unionByName(weights.withColumn("open", F.lit(False))), ["begun", "over"], parts, by, ranges.select(F.coalesce("low", "high").alias("key"))).where("rank <> 1")
     is_end = F.col("rank") != 0
     return met.groupBy(*by, "id").agg((F.sum(F.when(is_end, F.col("begun"))) - F.sum(F.when(~is_end, F.col("over")))).alias("w"))

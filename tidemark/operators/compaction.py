@@ -69,7 +69,7 @@ def cut_by_size(versions: DataFrame, target_bytes: int = TARGET_FILE_BYTES, valu
     """
     size = F.octet_length("key") + F.when(F.col("value").isNotNull(), value_bytes).otherwise(0) + 16
     sizes = versions.groupBy("key").agg(F.sum(size).alias("w"))
-    below = weight_below(sizes.select(F.col("key").alias("id"), "key", F.lit(False).alias("at_key")), sizes, parts)
+    below = weight_below(sizes.select(F.col("key").alias("id"), "key", F.lit(False).alias("at_key")), sizes, parts, sample=versions)
     file = F.expr(f"below div {int(target_bytes)}")
     return versions.join(below.select(F.col("id").alias("key"), file.alias("file")), "key").select("key", "seq", "rtype", "value", "file")
 

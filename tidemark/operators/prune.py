@@ -16,7 +16,7 @@ def find_table(keys: DataFrame, files: DataFrame, parts: int = PARTS) -> DataFra
     """key, level and number of the first file of each level whose largest key is at or after the key."""
     levels = F.explode(F.array(*[F.lit(k) for k in range(LEVELS)]))
     asked = keys.select("key").distinct().select(levels.alias("level"), F.col("key").alias("target"))
-    met = successor(asked, files.select("level", F.col("largest").alias("key"), "number"), parts, ["level"], carry="number")
+    met = successor(asked, files.select("level", F.col("largest").alias("key"), "number"), parts, ["level"], carry="number", sample=keys)
     return met.where("found is not null").select(F.col("target").alias("key"), "level", "number")
 
 

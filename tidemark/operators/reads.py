@@ -95,7 +95,7 @@ def get_by_level(located: DataFrame, keys: DataFrame, snapshot: int | None = Non
 
 def seek(versions: DataFrame, targets: DataFrame, parts: int = PARTS) -> DataFrame:
     """target and found: the first live key at or after each of ``targets`` (target), null past the end."""
-    return successor(targets.select("target"), live(versions).select("key"), parts)
+    return successor(targets.select("target"), live(versions).select("key"), parts, sample=versions)
 
 
 def ends(versions: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def ends(versions: DataFrame) -> DataFrame:
 
 def neighbours(versions: DataFrame, parts: int = PARTS) -> DataFrame:
     """key, next_key and prev_key of each live key."""
-    return next_and_previous(live(versions), parts)
+    return next_and_previous(live(versions), parts, versions)
 
 
 def contains(versions: DataFrame, keys: DataFrame) -> DataFrame:
