@@ -1,5 +1,6 @@
 """Small cases of the version operators: markers, ties, ranges, filters, storage and streams."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys as K
-from tidemark.functions.order import next_and_previous, successor, weight_between
+from tidemark.functions.order import heavy_keys, next_and_previous, successor, weight_between
 from tidemark.operators import batches, compaction, manifest, merge, prune, reads
 from tidemark.plans import catalog
 from tidemark.sources import versions as store
@@ -92,6 +93,27 @@ def test_as_of(spark, versions):
     assert got == {(k, s, q, v) for s in range(9) for k, q, v in _replay(ROWS, s)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_as_of_with_a_hot_key(spark, parts):
+    rng = random.Random(3)
+    seqs = rng.sample(range(1000), 300)
+    rows = [("hot'\\" if i % 3 else f"k{i % 40}", s, int(rng.random() < 0.3), float(s)) for i, s in enumerate(seqs)]
+    rows += [("a", 2000, 0, 1.0), (None, 1, 0, 1.0), ("tie", 5, 0, 5.0), ("tie", 5, 1, None)]
+    asked = [(k, s) for k in ("hot'\\", "k3", "a", "tie", "x") for s in (-1, 0, 5, *range(7, 1100, 7), 10**15)] + [("hot'\\", 999)] * 3 + [("hot'\\", None)]
+    versions, probes = spark.createDataFrame(rows, V), spark.createDataFrame(asked, "key string, snapshot long")
+    heavy = heavy_keys(versions, "key", "seq", parts)
+    assert sum(len(cuts) + 1 for cuts in heavy.values()) < 2 * parts + 1 and (parts == 1 or "hot'\\" in heavy)
+
+    def want(key, snapshot):
+        before = [r for r in rows if r[0] == key and snapshot is not None and r[1] <= snapshot]
+        last = max(before, key=lambda r: r[1:3], default=None)
+        return [(key, snapshot, last[1], last[3])] if last and last[2] == 0 else []
+
+    got = sorted(tuple(r) for r in reads.get_as_of(versions, probes, parts).collect())
+    assert got == sorted(x for p in asked for x in want(*p))
+    assert reads.get_as_of(versions.limit(0), probes, parts).count() == reads.get_as_of(versions, probes.limit(0), parts).count() == 0
+
+
 @pytest.mark.parametrize("parts", [1, 2, 3, 64])
 def test_order_lookups(spark, parts):
     names = ["", "a", "a'b\\", "ab", "b", "ba", "c\u00e9", "c\U0001f642"]
@@ -185,6 +207,10 @@ def test_store_and_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in reads.live(store.read(spark, path)).collect()) == live
     store.compact(spark, path, str(tmp_path / "w"), 2, drop=True)
     assert sorted(tuple(r) for r in reads.live(store.read(spark, str(tmp_path / "w"))).collect()) == live
+    met = [tuple(r) for r in store.files(spark, path).select("level", "number", "smallest", "largest", "n_versions").orderBy("number").collect()]
+    assert sum(r[4] for r in met) == 4 and [r[1] for r in met] == list(range(1, len(met) + 1)) and {r[0] for r in met} == {0}
+    assert prune.overlapping(store.files(spark, path), 0, "c", None).count() >= 1
+    assert store.files(spark, path).where("file_size <= 0 or name is null").count() == 0
     newest = reads.live(streams.tail(spark, path, files_per_batch=1))
     run = newest.writeStream.format("memory").queryName("live_view").outputMode("complete").trigger(availableNow=True).start()
     assert run.awaitTermination(60)
@@ -192,6 +218,9 @@ def test_store_and_stream(spark, tmp_path):
     run = streams.append(streams.tail(spark, path), str(tmp_path / "copy"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert run.awaitTermination(60)
     assert store.read(spark, str(tmp_path / "copy")).count() == 4
+    run = streams.append(streams.tail(spark, path, since=2), str(tmp_path / "later"), str(tmp_path / "cp2")).trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
+    assert sorted(r.seq for r in store.read(spark, str(tmp_path / "later")).collect()) == [3, 4]
 
 
 def test_no_pass_of_rows_through_one_task(spark, sf):

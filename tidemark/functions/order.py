@@ -48,6 +48,26 @@ def part_of(key: str, cuts: list) -> Column:
     return F.expr(tree(0, len(cuts)))
 
 
+def heavy_keys(rows: DataFrame, key: str, at: str, parts: int = PARTS, sample_rows: int = SAMPLE_KEYS) -> dict:
+    """Cuts of ``at`` (a long) for each key with a ``parts``-th or more of the distinct (key, at): fewer than 2 * ``parts`` ranges in all.
+
+    Shares and cuts are those of a sample of at most ``sample_rows`` rows, the row of the largest hash in each bucket.
+    """
+    bucket = F.pmod(F.xxhash64(key, at), F.lit(sample_rows))
+    one = F.max_by(F.struct(F.col(key).alias("key"), F.col(at).alias("at")), F.xxhash64(F.lit(1), key, at))
+    found = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(bucket.alias("b")).agg(one.alias("r")).collect()
+    seen: dict = {}
+    for r in found:
+        seen.setdefault(r.r.key, []).append(r.r["at"])
+    heavy = {}
+    for k, places in seen.items():
+        n = len(places) * parts // len(found)
+        if n >= 1 and len(places) > 1:
+            places.sort()
+            heavy[k] = sorted({places[len(places) * i // (n + 1)] for i in range(1, n + 1)})
+    return heavy
+
+
 def next_and_previous(keys: DataFrame, parts: int = PARTS, sample: DataFrame | None = None) -> DataFrame:
     """key, next_key and prev_key of each distinct key of ``keys``; null at the ends."""
     keys = keys.select("key").where("key is not null").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import packed_order
-from tidemark.functions.order import PARTS, next_and_previous, successor
+from tidemark.functions.order import PARTS, heavy_keys, next_and_previous, part_of, successor
 
 
 def newest(versions: DataFrame) -> DataFrame:
@@ -47,16 +47,31 @@ def multi_get(versions: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(got, "key", "left").select("key", F.col("seq").isNotNull().alias("found"), "seq", "value")
 
 
-def get_as_of(versions: DataFrame, probes: DataFrame) -> DataFrame:
+def get_as_of(versions: DataFrame, probes: DataFrame, parts: int = PARTS) -> DataFrame:
     """key, snapshot, seq and value of each probe (key, snapshot) whose key is live as of the snapshot.
 
-    An as-of join by one window over both tables, so that a key's versions are never paired with all of its probes.
+    An as-of join by one window over both tables, so that a key's versions are never paired with all of its probes. Keys
+    with a ``parts``-th or more of the rows are cut into ranges of sequence numbers, and the last version of each range is
+    carried to the next ones; there are fewer than 2 * ``parts`` such ranges, whatever the tables' size. Repeated probes
+    give repeated rows.
     """
-    rows = versions.select("key", "seq", F.struct("seq", "rtype", "value").alias("v"), F.lit(0).alias("probe"))
-    asked = probes.select("key", F.col("snapshot").alias("seq"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), F.lit(1).alias("probe"))
-    before = Window.partitionBy("key").orderBy("seq", "probe", "v.rtype").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rows.unionByName(asked).withColumn("last", F.last("v", ignorenulls=True).over(before))
-    return met.where("probe = 1 and last.rtype = 0").select("key", F.col("seq").alias("snapshot"), F.col("last.seq").alias("seq"), F.col("last.value").alias("value"))
+    rows = versions.select("key", F.col("seq").cast("long").alias("seq"), F.struct("seq", "rtype", "value").alias("v"), F.lit(0).alias("probe"))
+    asked = probes.select("key", F.col("snapshot").cast("long").alias("seq"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), F.lit(1).alias("probe"))
+    both = rows.unionByName(asked)
+    heavy = heavy_keys(both, "key", "seq", parts)
+    part = F.lit(0)
+    for key, cuts in heavy.items():
+        part = F.when(F.col("key") == F.lit(key), part_of("seq", cuts)).otherwise(part)
+    both = both.withColumn("part", part)
+    before = Window.partitionBy("key", "part").orderBy("seq", "probe", "v.rtype").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("last", F.last("v", ignorenulls=True).over(before)).where("probe = 1")
+    if heavy:
+        order = F.when(F.col("probe") == 0, F.struct("seq", "v.rtype"))
+        ranges = both.where(F.col("key").isin(list(heavy))).groupBy("key", "part").agg(F.max_by("v", order).alias("end"))
+        earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        carried = ranges.select("key", "part", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+        met = met.join(F.broadcast(carried), ["key", "part"], "left").withColumn("last", F.coalesce("last", "carried"))
+    return met.where("last.rtype = 0").select("key", F.col("seq").alias("snapshot"), F.col("last.seq").alias("seq"), F.col("last.value").alias("value"))
 
 
 def scan(versions: DataFrame, start: str | None = None, limit: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import batches, compaction, reads
@@ -30,3 +30,15 @@ def write(spark: SparkSession, path: str, write_batches: DataFrame, schema: str
 def compact(spark: SparkSession, path: str, to: str, n_files: int, drop: bool = False, schema: str = SCHEMA) -> None:
     """Write the versions anew, sorted, under another path: what is being read is never overwritten."""
     compaction.rewrite(read(spark, path, schema), n_files, drop).withColumn("rtype", F.col("rtype").cast("int")).write.parquet(to)
+
+
+def files(spark: SparkSession, path: str, level: int = 0, schema: str = SCHEMA) -> DataFrame:
+    """level, number, smallest, largest, file_size, n_versions and name of each Parquet file under ``path`` that has rows.
+
+    Only keys and sequence numbers are read, and grouped by file. The files are numbered from 1 in the order of their
+    largest sequence numbers, newer ones later.
+    """
+    seen = read(spark, path, schema).select("key", "seq", F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_size").alias("file_size"))
+    each = seen.groupBy("name").agg(F.min("key").alias("smallest"), F.max("key").alias("largest"), F.max("file_size").alias("file_size"), F.count("*").alias("n_versions"), F.max("seq").alias("last_seq"))
+    number = F.row_number().over(Window.orderBy("last_seq", "name"))  # a row for each file
+    return each.select(F.lit(level).alias("level"), number.cast("long").alias("number"), "smallest", "largest", "file_size", "n_versions", "name")
