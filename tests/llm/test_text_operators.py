@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe_automaton, packing, quality_classifier, quality_rules, queries, token_counts
-from tidemark.llm.text_stats import text_stats
+from tidemark.llm.text_stats import FEATURES, counts_of, features, text_stats
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n\t", "a", "Ünïcödé  ΣΑΣ naïve x", "it's we'll 12345 ...!!  \n\n\n end ", "漢字 かな 🙂🙂 é", "<|endoftext|> x <|startoftext|>", "tab\tand\r\nline", "x" * 3000, "word " * 5000, "a\x1cb\x1fc"]
@@ -243,3 +243,77 @@ def test_classifier_edges(spark, odd):
     assert scores(label([(0, None)])) == {0.5} and scores(label([(3, 1)])) == {1.0} and scores(label([(3, 0), (999, 1)])) == {0.0}
     both = quality_classifier.score_stats(stats, label([(3, 1), (4, 1), (5, 0), (9, 0), (5, 0)])).collect()
     assert len(both) == len(ODD) + 2 and all(0 <= r.score <= 1 for r in both)
+
+
+def _labelled(sf):
+    rows = duckdb.sql(f"select l.doc_id, l.quality, d.text from '{sf}/labels.parquet' l join '{sf}/documents.parquet' d using (doc_id) where l.quality in (0, 1)").fetchall()
+    return [r[0] for r in rows], np.array([r[1] for r in rows]), features(np.array([counts_of(r[2]) for r in rows]))
+
+
+def test_classifier_as_a_plain_discriminant(spark, sf, texts):
+    """Means, shrunken covariances and log densities by numpy's own functions, over the labelled rows that may be learnt from."""
+    ids, y, x = _labelled(sf)
+    learn = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in ids])
+
+    def log_density(k, rows):
+        own = x[learn & (y == k)]
+        cov = np.cov(own, rowvar=False, bias=True)
+        cov = np.where(np.eye(len(cov), dtype=bool), cov + 1e-4, 0.9 * cov)
+        from_mean = rows - own.mean(0)
+        return np.log(len(own) / learn.sum()) - np.linalg.slogdet(cov)[1] / 2 - (from_mean * np.linalg.solve(cov, from_mean.T).T).sum(1) / 2
+
+    got = {r.doc_id: r for r in queries.op1_quality_classifier(spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    rows = features(np.array([counts_of(texts[i]) for i in got]))
+    want = 1 / (1 + np.exp(-np.clip((log_density(1, rows) - log_density(0, rows)) / rows.shape[1], -600, 600)))
+    assert np.allclose([r.score for r in got.values()], want, atol=1e-9)
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+
+
+def _path(tree, row):
+    """The leaf's value that one row comes to, node by node, and the depth of the leaf."""
+    feature, split, left, value = tree
+    at = depth = 0
+    while feature[at] >= 0:
+        at, depth = left[at] + bool(row[feature[at]] >= split[at]), depth + 1
+    return at, value[at], depth
+
+
+def test_trees_as_counted_by_hand():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(60, 3)), np.full((5, 3), 0.5), np.full((1, 3), 9.0)])
+    tree = quality_rules._tree(points, np.full(3, -4.0), np.full(3, 10.0), 12, rng)
+    leaves = [_path(tree, p) for p in points]
+    reached = Counter(at for at, _, _ in leaves)
+    mean_path = lambda n: 0.0 if n <= 1 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    for at, value, depth in leaves:
+        assert abs(value - depth - mean_path(reached[at])) < 1e-12 and (depth == 12 or reached[at] == 1)
+    far = [np.mean([_path(quality_rules._tree(points, np.full(3, -4.0), np.full(3, 10.0), 12, rng), p)[1] for _ in range(60)]) for p in (points[-1], np.zeros(3))]
+    assert far[0] < far[1]
+
+
+def test_rules_as_a_plain_forest(spark, sf, texts):
+    """Every text's verdict by a walk through each tree, and the threshold by a search over all cuts of the labelled scores."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stats = text_stats(spark.read.parquet(f"{sf}/documents.parquet"))
+    forest = quality_rules.fit(stats, labels)
+
+    def score(x):
+        return 2 ** -(np.mean([_path(t, x)[1] for t in forest.trees]) / forest.unit)
+
+    names = [FEATURES.index(f) for f in quality_rules.RULES]
+    counts = {i: counts_of(t) for i, t in texts.items()}
+    rows = dict(zip(counts, features(np.array(list(counts.values())))[:, names], strict=True))
+    scores = {i: score(x) for i, x in rows.items()}
+    got = {r.doc_id: r for r in quality_rules.judge_stats(stats, forest).collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        words, repeats = len(re.findall(r"[^\x20\x09-\x0D]+", texts[i] or "")), counts[i][4]
+        assert abs(r.anomaly - scores[i]) < 1e-9 and r.base_failed == (words < 20 or 100 * repeats > 30 * words)
+        assert r.kept == (not r.base_failed and r.anomaly < forest.threshold)
+    ids, y, _ = _labelled(sf)
+    bins = np.array([min(int(scores[i] * quality_rules.BINS), quality_rules.BINS - 1) for i in ids])
+    gain = [np.mean(bins[y == 1] < cut) + np.mean(bins[y == 0] >= cut) for cut in range(quality_rules.BINS + 1)]
+    cut = forest.threshold * quality_rules.BINS
+    assert max(gain[int(np.floor(cut))], gain[int(np.ceil(cut))]) >= max(gain) - 1e-9
+    assert 0 < len(forest.trees) == 100 and forest.unit > 1
