@@ -317,3 +317,11 @@ def test_rules_as_a_plain_forest(spark, sf, texts):
     cut = forest.threshold * quality_rules.BINS
     assert max(gain[int(np.floor(cut))], gain[int(np.ceil(cut))]) >= max(gain) - 1e-9
     assert 0 < len(forest.trees) == 100 and forest.unit > 1
+
+
+def test_rules_pick_rows_for_the_trees_by_their_hash(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), *(F.lit(1).alias(c) for c in quality_rules.COUNTS)).repartition(40)
+    got = [r.h for r in quality_rules._smallest(df, 100).collect()]
+    assert got == sorted(r.h for r in df.select(F.xxhash64("doc_id").alias("h")).collect())[:100]
+    assert quality_rules._smallest(df, 5900).count() == 5900 and quality_rules._smallest(df, 10_000).count() == 6000
+    assert quality_rules._smallest(df.limit(0), 5).count() == 0

@@ -70,9 +70,13 @@ class Scratch:
     def result(self, df: DataFrame) -> DataFrame:
         """``df`` as a table of its own; the run's others are removed."""
         out = materialise(df, self.name)
-        delete(self.spark, self.path)
+        self.remove()
         return out
 
+    def remove(self) -> None:
+        """Delete the run's tables."""
+        delete(self.spark, self.path)
+
 
 def fresh(name: str, *taken: str) -> str:
     """A column name that isn't among ``taken``, whatever its letter case."""

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Scratch
 from tidemark.llm.text_stats import COUNTS, FEATURES, features
 
 RULES = ["word_length", "symbols", "bangs", "upper", "same_word"]
@@ -99,8 +100,28 @@ def fit(stats: DataFrame, labels: DataFrame, n_trees: int = 100, tree_rows: int
     takes ``tree_rows`` at random. The ranges cover every row of ``stats``; the threshold, every labelled row.
     """
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality"))
-    joined = stats.join(known, "doc_id")
-    rows = joined.where("quality = 1").select(F.xxhash64("doc_id").alias("h"), *COUNTS).orderBy("h", *COUNTS).limit(fit_rows).toPandas()
+    scratch = Scratch(stats.sparkSession, "rules")
+    try:
+        return _grow(stats, scratch.table(stats.join(known, "doc_id"), "labelled"), n_trees, tree_rows, depth, fit_rows, seed)
+    finally:
+        scratch.remove()
+
+
+def _smallest(good: DataFrame, fit_rows: int) -> DataFrame:
+    """The ``fit_rows`` rows with the smallest hash of doc_id, or a few less where one doc_id repeats very often.
+
+    Only hashes below a cut that 1.05 times as many rows are expected to pass get to the sort, so that one task reads
+    little more than ``fit_rows`` rows however many partitions and rows there are.
+    """
+    hashed = good.select(F.xxhash64("doc_id").alias("h"), *COUNTS)
+    total = good.count()
+    if total > 1.05 * fit_rows:
+        hashed = hashed.where(F.col("h") < int(-(2**63) + 1.05 * fit_rows / total * 2**64))
+    return hashed.orderBy("h", *COUNTS).limit(fit_rows)
+
+
+def _grow(stats: DataFrame, joined: DataFrame, n_trees: int, tree_rows: int, depth: int, fit_rows: int, seed: int) -> Forest:
+    rows = _smallest(joined.where("quality = 1"), fit_rows).toPandas()
     if not len(rows):
         return Forest([], 1.0, 0)
     box = stats.select(*COUNTS).mapInArrow(_ranges, "i long, lo double, hi double").groupBy("i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("i").collect()
