@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_stats import COUNTS, FEATURES, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of_all, features
 
 
 @dataclass(frozen=True)
@@ -109,3 +109,13 @@ def score_counts(model: Discriminant) -> Callable[..., Column]:
         return pd.Series(model.score(np.column_stack(columns)))
 
     return score
+
+
+def score_text(model: Discriminant) -> Callable[[Column], Column]:
+    """A vectorised function from a text column to the score, for use within other selections."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(counts_of_all(texts)))
+
+    return score

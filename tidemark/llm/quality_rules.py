@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
-from tidemark.llm.text_stats import COUNTS, FEATURES, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of_all, features
 
 RULES = ["word_length", "symbols", "bangs", "upper", "same_word"]
 _AT = [FEATURES.index(x) for x in RULES]
@@ -184,3 +184,14 @@ def keep_counts(forest: Forest) -> Callable[..., Column]:
         return pd.Series(~base_failed(counts) & (forest.score(counts) < forest.threshold))
 
     return keep
+
+
+def keep_text(forest: Forest) -> Callable[[Column], Column]:
+    """A vectorised function from a text column to the verdict, for use within other selections."""
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        counts = counts_of_all(texts)
+        return pd.Series(~base_failed(counts) & (forest.score(counts) < forest.threshold))
+
+    return keep

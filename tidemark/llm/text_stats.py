@@ -103,6 +103,11 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches, STATS_SCHEMA)
 
 
+def counts_of_all(texts: pd.Series) -> np.ndarray:
+    """COUNTS of each text, a row each; zeros for null."""
+    return np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS))
+
+
 def counts_udf() -> Callable[[Column], Column]:
     """A vectorised function from a text column to a struct of COUNTS, to keep them beside the text; zeros for null."""
 
