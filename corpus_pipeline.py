@@ -3,20 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import order_minhash, packing, quality_classifier, quality_rules
-from tidemark.llm.common import fresh, materialise, table
-from tidemark.llm.text_stats import COUNTS, counts_udf
-
-
-def _counted(docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[Column], str]:
-    """``docs`` written with their counts beside them, the counts by doc_id, the counts' columns and the column they are in."""
-    at = fresh("counts", *docs.columns)
-    counted = materialise(docs.withColumn(at, counts_udf()(F.col("text"))), name)
-    columns = [F.col(f"`{at}`")[c] for c in COUNTS]
-    return counted, counted.select(F.col("doc_id").cast("long").alias("doc_id"), *(x.alias(c) for x, c in zip(columns, COUNTS, strict=True))), columns, at
+from tidemark.llm.common import Scratch, fresh, materialise, table
+from tidemark.llm.text_stats import text_stats
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +17,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and short texts fail. Rows that repeat are judged alike, and columns stay as they are, whatever their
     names. An empty table gives an empty result.
     """
-    counted, stats, columns, at = _counted(docs, "rules-counted")
-    keep = quality_rules.keep_counts(quality_rules.fit(stats, table(spark, sf_dir, "labels")))
-    return counted.where(keep(*columns)).drop(at)
+    scratch = Scratch(spark, "rules-counts")
+    keep = quality_rules.keep_text(quality_rules.fit(scratch.table(text_stats(docs), "counts"), table(spark, sf_dir, "labels")))
+    scratch.remove()
+    return docs.where(keep(docs["text"]))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +29,9 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat are scored alike, and columns stay as they are, whatever their names. An empty table gives an
     empty result; without labels every document stays.
     """
-    counted, stats, columns, at = _counted(docs, "classifier-counted")
     labels = table(spark, sf_dir, "labels")
-    score = quality_classifier.score_counts(quality_classifier.fit(stats, labels.where(~quality_classifier.held_out(labels["doc_id"]))))
-    return counted.where(score(*columns) >= 0.5).drop(at)
+    score = quality_classifier.score_text(quality_classifier.fit(text_stats(docs), labels.where(~quality_classifier.held_out(labels["doc_id"]))))
+    return docs.where(score(docs["text"]) >= 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +46,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed.groupBy(F.col(own).alias("own")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     classes = order_minhash.near_duplicates(keyed.select(F.col(own).alias("doc_id"), "text")).select(F.col("doc_id").alias("own"), "class_id").distinct()
     first = classes.join(rows, "own").groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "own", "n")).alias("first"))
-    kept = materialise(first.select(F.col("first.own").alias(own), F.col("first.n").alias("n")), "dedup-kept")
-    once = keyed.join(kept.where("n = 1").select(own), own, "left_semi")
-    repeated = keyed.join(kept.where("n > 1").select(own), own, "left_semi").dropDuplicates([own])
+    kept = first.select("first.own", F.lit(True).alias("stays"))
+    changed = rows.join(kept, "own", "left").where("stays is null or n > 1")  # few beside the rest, so that these are what is joined with the texts
+    changed = materialise(changed.select(F.col("own").alias(own), F.coalesce("stays", F.lit(False)).alias("stays")), "dedup-changed")
+    once = keyed.join(changed.select(own), own, "left_anti")
+    repeated = keyed.join(changed.where("stays").select(own), own, "left_semi").dropDuplicates([own])
     return once.unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
