@@ -13,16 +13,15 @@ an empty result. Further columns of either table are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of_all, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, features, where_counts
 
 
 @dataclass(frozen=True)
@@ -101,21 +100,6 @@ def score_stats(stats: DataFrame, model: Discriminant) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def score_counts(model: Discriminant) -> Callable[..., Column]:
-    """A vectorised function from the columns COUNTS to the score, for use within other selections."""
-
-    @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.column_stack(columns)))
-
-    return score
-
-
-def score_text(model: Discriminant) -> Callable[[Column], Column]:
-    """A vectorised function from a text column to the score, for use within other selections."""
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(counts_of_all(texts)))
-
-    return score
+def keep_rows(docs: DataFrame, model: Discriminant, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, columns as they are."""
+    return where_counts(docs, lambda counts: model.score(counts) >= least)

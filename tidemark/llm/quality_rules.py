@@ -11,17 +11,16 @@ empty table gives an empty result. Repeated rows are judged alike; further colum
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch
-from tidemark.llm.text_stats import COUNTS, FEATURES, counts_of_all, features
+from tidemark.llm.text_stats import COUNTS, FEATURES, features, where_counts
 
 RULES = ["word_length", "symbols", "bangs", "upper", "same_word"]
 _AT = [FEATURES.index(x) for x in RULES]
@@ -175,23 +174,6 @@ def judge_stats(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.select("doc_id", *COUNTS).mapInArrow(run, RESULT)
 
 
-def keep_counts(forest: Forest) -> Callable[..., Column]:
-    """A vectorised function from the columns COUNTS to the verdict, for use within other selections."""
-
-    @F.pandas_udf("boolean")
-    def keep(*columns: pd.Series) -> pd.Series:
-        counts = np.column_stack(columns)
-        return pd.Series(~base_failed(counts) & (forest.score(counts) < forest.threshold))
-
-    return keep
-
-
-def keep_text(forest: Forest) -> Callable[[Column], Column]:
-    """A vectorised function from a text column to the verdict, for use within other selections."""
-
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        counts = counts_of_all(texts)
-        return pd.Series(~base_failed(counts) & (forest.score(counts) < forest.threshold))
-
-    return keep
+def keep_rows(docs: DataFrame, forest: Forest) -> DataFrame:
+    """The rows of ``docs`` whose text passes the base rules and the forest, columns as they are."""
+    return where_counts(docs, lambda counts: ~base_failed(counts) & (forest.score(counts) < forest.threshold))

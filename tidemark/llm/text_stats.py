@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -103,19 +102,21 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_batches, STATS_SCHEMA)
 
 
-def counts_of_all(texts: pd.Series) -> np.ndarray:
-    """COUNTS of each text, a row each; zeros for null."""
-    return np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS))
+def where_counts(docs: DataFrame, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` whose text's COUNTS (a row of the matrix given to ``keep``) are to be kept, columns as they are.
 
+    Texts become Python strings 512 at a time, and the JVM holds no rows back while Python judges them.
+    """
+    at = docs.columns.index("text")
 
-def counts_udf() -> Callable[[Column], Column]:
-    """A vectorised function from a text column to a struct of COUNTS, to keep them beside the text; zeros for null."""
-
-    @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([counts_of(x) for x in texts], np.int64).reshape(-1, len(COUNTS)), columns=COUNTS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                counts = np.array([counts_of(x) for x in part.column(at).to_pylist()], np.int64).reshape(-1, len(COUNTS))
+                yield part.filter(pa.array(keep(counts)))
 
-    return counted
+    return docs.mapInArrow(run, docs.schema)
 
 
 FEATURES = ["word_length", "symbols", "bangs", "upper", "digits", "stops", "letters", "same_word", "links"]
