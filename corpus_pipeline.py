@@ -18,9 +18,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "rules-counts")
-    keep = quality_rules.keep_text(quality_rules.fit(scratch.table(text_stats(docs), "counts"), table(spark, sf_dir, "labels")))
+    forest = quality_rules.fit(scratch.table(text_stats(docs), "counts"), table(spark, sf_dir, "labels"))
     scratch.remove()
-    return docs.where(keep(docs["text"]))
+    return quality_rules.keep_rows(docs, forest)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty result; without labels every document stays.
     """
     labels = table(spark, sf_dir, "labels")
-    score = quality_classifier.score_text(quality_classifier.fit(text_stats(docs), labels.where(~quality_classifier.held_out(labels["doc_id"]))))
-    return docs.where(score(docs["text"]) >= 0.5)
+    model = quality_classifier.fit(text_stats(docs), labels.where(~quality_classifier.held_out(labels["doc_id"])))
+    return quality_classifier.keep_rows(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
